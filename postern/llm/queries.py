@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import byte_bpe, decontamination, quality_rules
+from postern.llm import byte_bpe, decontamination, lm_scoring, quality_rules
 from postern.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": lambda s, d: lm_scoring.op1(table(s, d, "documents")),
         "op5_byte_bpe": lambda s, d: byte_bpe.op5(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: decontamination.op7(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_quality_rules": lambda s, d: quality_rules.op10(table(s, d, "documents"), table(s, d, "labels")),
