@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import byte_bpe, decontamination, lm_scoring, quality_rules, substring_dedup, token_output
+from postern.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_rules, substring_dedup, token_output
 from postern.llm.common import table
 
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": lambda s, d: lm_scoring.op1(table(s, d, "documents")),
         "op2_token_output": lambda s, d: token_output.op2(table(s, d, "documents")),
         "op3_substring_dedup": lambda s, d: substring_dedup.op3(table(s, d, "documents")),
+        "op4_ngram_join": lambda s, d: ngram_join.op4(table(s, d, "documents")),
         "op5_byte_bpe": lambda s, d: byte_bpe.op5(table(s, d, "documents")),
         "op7_decontamination": lambda s, d: decontamination.op7(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_quality_rules": lambda s, d: quality_rules.op10(table(s, d, "documents"), table(s, d, "labels")),
