@@ -283,7 +283,9 @@ def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n:
             at = np.flatnonzero(c.pair_shard == shard)
             pair_levels[at] = np.frombuffer(parts[0], np.uint8)[np.searchsorted(places[shard], c.pair_key[at])]
     if pair_levels is None:
-        pair_levels = pair_filter.levels(c.pair_key, c.pair_shard.astype(np.int64))
+        # Frequent pairs are probed level after level: once a chunk, not once a place.
+        keys, where = np.unique(c.pair_shard << np.uint64(40) | c.pair_key, return_inverse=True)
+        pair_levels = pair_filter.levels(keys & np.uint64((1 << 40) - 1), (keys >> np.uint64(40)).astype(np.int64))[where]
     whole = n + 0.5 * (v + 1)
     prev, cur = c.ids[:-1], c.ids[1:]
     base = np.log10((count + 0.5) / whole)[cur]
