@@ -1,20 +1,21 @@
 """Token-id output: documents as ids in range-coded record files, in ascending doc_id order.
 
-Texts are tokenised, dealt to ranges of doc_id, sorted and written as records of about RECORD_IDS ids
+Texts are dealt to ranges of doc_id, sorted, tokenised and written as records of about RECORD_IDS ids
 (`token_coder`), each with an index of its documents. A file's rows are (part, seq, start, record):
 `start` counts the ids before the record within its part, so positions over all files need only one
 number a part.
 
 The container is Parquet, whose committer makes a rerun task's file replace the lost one's.
 
-Null text is an empty text: its end id alone. A null doc_id sorts first. Equal doc_ids sort by their
-ids' bytes. An empty table writes no records. Extra columns are not written.
+Null text is an empty text: its end id alone. A null doc_id sorts first. Equal doc_ids sort by
+their texts. An empty table writes no records. Extra columns are not written.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from postern.llm.token_coder import decode, encode
 RECORD_IDS = 4 << 20
 END_ID = 1
 #: White-space separated words whose ids a worker keeps before it starts anew, and the longest that it takes.
-CACHE_WORDS, CACHE_BYTES = 500_000, 64
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
 BITS = 16
 
 
@@ -52,7 +53,7 @@ class _Tokenizer:
         cache = self.cache
         new = {w for ws in words for w in ws if w not in cache}
         listed = list(new)
-        here = {w: np.array(e.ids, "<u2").tobytes() for w, e in zip(listed, self.inner.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True)}
+        here = {w: array("H", e.ids).tobytes() for w, e in zip(listed, self.inner.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True)}
         cache.update((w, x) for w, x in here.items() if len(w) <= CACHE_BYTES)
         known = cache.__getitem__ if len(cache) and all(len(w) <= CACHE_BYTES for w in listed) else (cache | here).__getitem__
         end = np.array([END_ID], "<u2").tobytes()
@@ -103,8 +104,10 @@ def write(docs: DataFrame, path: str) -> DataFrame:
         if keys:
             yield flush()
 
-    dealt = tokenized(docs, path).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return write_table(dealt.mapInArrow(rows, "part int, seq int, start long, n_ids long, record binary"), "records")
+    # Texts are dealt, not ids: finding the ranges reads the rows once more, which would tokenise them twice.
+    first = F.col("doc_id").asc_nulls_first()
+    dealt = docs.select("doc_id", "text").repartitionByRange(first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
+    return write_table(tokenized(dealt, path).mapInArrow(rows, "part int, seq int, start long, n_ids long, record binary"), "records")
 
 
 def open_record(record: bytes) -> tuple[list, np.ndarray, np.ndarray]:
