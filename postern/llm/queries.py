@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import byte_bpe, decontamination, lm_scoring, ngram_join, quality_rules, substring_dedup, token_output
+from postern.llm import byte_bpe, decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
 from postern.llm.common import table
 
 
@@ -17,7 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": lambda s, d: substring_dedup.op3(table(s, d, "documents")),
         "op4_ngram_join": lambda s, d: ngram_join.op4(table(s, d, "documents")),
         "op5_byte_bpe": lambda s, d: byte_bpe.op5(table(s, d, "documents")),
+        "op6_quality_classifier": lambda s, d: quality_classifier.op6(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontamination": lambda s, d: decontamination.op7(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op9_pii": lambda s, d: pii.op9(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality_rules.op10(table(s, d, "documents"), table(s, d, "labels")),
     }
 
