@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postern.llm import byte_bpe, decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output
+from postern.llm import byte_bpe, decontamination, lm_scoring, ngram_join, pii, quality_classifier, quality_rules, substring_dedup, token_output, warc
 from postern.llm.common import table
 
 
@@ -19,10 +19,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": lambda s, d: byte_bpe.op5(table(s, d, "documents")),
         "op6_quality_classifier": lambda s, d: quality_classifier.op6(table(s, d, "documents"), table(s, d, "labels")),
         "op7_decontamination": lambda s, d: decontamination.op7(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op8_warc": lambda s, d: warc.op8(table(s, d, "pages")),
         "op9_pii": lambda s, d: pii.op9(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality_rules.op10(table(s, d, "documents"), table(s, d, "labels")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.OP7_SQL}
+    return {"op7_decontamination": decontamination.OP7_SQL, "op8_warc": warc.OP8_SQL}
