@@ -20,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ SHINGLE = 5
 TIMES, OF = 80, 100
 #: Largest number of shared prefix shingles that a document asks for.
 MOST = 4
-#: Cells of the frequency sketch: 16 MB, whatever the input.
-CELL_BITS = 22
+#: Bytes of text for each cell of the frequency sketch, and the most cells (a byte each when broadcast): 64 MB.
+CELL_BYTES, MOST_CELL_BITS = 25, 26
 BANDS, ROWS = 6, 3
 #: Documents in a pack of prefixes, and prefix shingles for each hash shard.
 PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
@@ -83,17 +84,23 @@ def prefix_length(n: int, l: int) -> int:  # noqa: E741
     return n - needed(n) + l
 
 
-def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """How often each cell's shingles occur, and the sum. A task sends its cells compressed, in slices."""
-    slices = 16
-    cells = 1 << CELL_BITS
+def _heat(docs: DataFrame) -> np.ndarray:
+    """For each cell of shingles how frequent they are: 0 for what chance explains, else about the logarithm.
+
+    Cells hold other shingles too, about as many in each: only what clearly exceeds the median counts.
+    A task sends its cells compressed, in slices; a slice is added up by one task.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_CELL_BITS, max(12, math.ceil(math.log2(size / CELL_BYTES + 1))))
+    slices = 64
+    cells = 1 << bits
     step = cells // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
         for batch in batches:
             for text in texts_of(batch.column("text")):
-                total[(shingles(text) >> np.uint64(64 - CELL_BITS)).astype(np.int64)] += np.uint32(1)
+                total[(shingles(text) >> np.uint64(64 - bits)).astype(np.int64)] += np.uint32(1)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([pack([total[k * step : (k + 1) * step]]) for k in range(slices)], pa.binary())], ["slice", "cells"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,29 +108,27 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for x in batch.column("cells").to_pylist():
                 total += np.frombuffer(unpack(x)[0], np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack([total])], pa.binary())], ["slice", "cells"])
+        usual = float(np.median(total))
+        heat = np.where(total > 2 * usual + 8, np.log2(np.maximum(1, total - usual)) + 1, 0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack([heat])], pa.binary())], ["slice", "cells"])
 
     got = sorted((r["slice"], bytes(r["cells"])) for r in docs.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(add, "slice int, cells binary").collect())
-    found = np.concatenate([np.frombuffer(unpack(x)[0], np.uint32) for _, x in got]) if got else np.zeros(cells, np.uint32)
-    return found, int(found.sum())
+    return np.concatenate([np.frombuffer(unpack(x)[0], np.uint8) for _, x in got]) if got else np.zeros(cells, np.uint8)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, set_hash, bands, prefix: the first prefix_length(n, MOST) shingles in order, as hashes."""
-    cells, total = _sketch(docs)
-    usual = total / len(cells)
-    # Cells hold other shingles by chance: only what clearly exceeds them counts as frequent.
-    heat = np.where(cells > 2 * usual + 8, np.log2(np.maximum(1, cells - usual)).astype(np.uint8) + 1, 0).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(heat)
+    shared = docs.sparkSession.sparkContext.broadcast(_heat(docs))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heat = shared.value
+        shift = np.uint64(64 - (len(heat).bit_length() - 1))
         for batch in batches:
             out: list[list] = [[] for _ in range(4)]
             for text in texts_of(batch.column("text")):
                 h = shingles(text)
                 n = len(h)
-                hot = heat[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                hot = heat[(h >> shift).astype(np.int64)]
                 cold = h[hot == 0]
                 length = min(n, prefix_length(n, MOST))
                 # Within one heat any fixed order serves; hashes are scrambled so that it is not the cells'.
@@ -141,7 +146,10 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _stars(reps: DataFrame) -> DataFrame:
-    """a, b: documents and the smallest document in one of their buckets. A task links its own before it tells others of its smallest."""
+    """a, b: each document and the one that is smallest in most of its buckets.
+
+    A task links its own documents before it tells others of its smallest, so a large bucket is a few rows a task.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
@@ -152,16 +160,42 @@ def _stars(reps: DataFrame) -> DataFrame:
                 for k in bands:
                     if doc < least.get(k, doc + 1):
                         least[k] = doc
-        out = [(None, doc, to) for doc, bands in seen for to in {least[k] for k in bands} if to != doc]
+        out = []
+        for doc, bands in seen:
+            votes = Counter(least[k] for k in bands if least[k] != doc)
+            if votes:
+                out.append((None, doc, min(votes, key=lambda d: (-votes[d], d))))
         out += [(k, doc, doc) for k, doc in least.items()]
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["bucket", "a", "b"])
 
     found = write_table(reps.select("doc_id", "bands").mapInArrow(local, "bucket long, a long, b long"), "buckets")
     across = found.where("bucket is not null").groupBy("bucket").agg(F.min("a").alias("b"), F.collect_set("a").alias("all")).where(F.size("all") > 1)
-    across = across.select(F.explode("all").alias("a"), "b").where("a <> b")
+    votes = across.select(F.explode("all").alias("a"), "b").where("a <> b").groupBy("a", "b").count()
+    across = votes.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
     return found.where("bucket is null").select("a", "b").unionByName(across).distinct()
 
 
+def _members(real: DataFrame) -> DataFrame:
+    """doc_id, class_id: the smallest doc_id with the same shingles. A task finds its own smallest first, so copies are a row a task."""
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        seen: list[tuple[int, bytes]] = []
+        for batch in batches:
+            for doc, key in zip(batch.column("doc_id").to_pylist(), batch.column("set_hash").to_pylist(), strict=True):
+                seen.append((doc, key))
+                if doc < least.get(key, doc + 1):
+                    least[key] = doc
+        out = [(doc, least[key], None) for doc, key in seen] + [(None, doc, key) for key, doc in least.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "head", "set_hash"])
+
+    found = write_table(real.select("doc_id", "set_hash").mapInArrow(local, "doc_id long, head long, set_hash binary"), "heads")
+    heads = found.where("doc_id is null").select("head", "set_hash")
+    classes = heads.groupBy("set_hash").agg(F.min("head").alias("class_id"))
+    # A document that heads two sets (rows of one doc_id) belongs to the classes of both.
+    return write_table(found.where("doc_id is not null").select("doc_id", "head").join(heads.join(classes, "set_hash").select("head", "class_id"), "head").select("doc_id", "class_id").distinct(), "members")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar, compared shingle by shingle."""
     pairs = write_table(pairs, "pairs")
@@ -382,9 +416,8 @@ def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same shingles), component_id."""
     signed = _signatures(docs)
     real = signed.where("doc_id is not null and n > 0")
-    classes = real.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
     # Rows of one doc_id are one document: links between the classes that it is in.
-    member = write_table(real.select("doc_id", "set_hash").join(classes, "set_hash").select("doc_id", "class_id").distinct(), "members")
+    member = _members(real)
     reps = real.join(member.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
     same = member.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     near = write_table(_verified(_stars(reps), docs), "stars")
