@@ -1,16 +1,17 @@
 """N-gram Jaccard join by adaptive multi-match prefixes, and the components of its links.
 
-Texts become sets of hashed five-word shingles; equal sets are one class. Shingles are ordered by
-how frequent a count sketch finds them (frequent last), then by hash. Two sets that overlap enough
-share at least l shingles of their l-prefixes, the first n - ceil(0.8 n) + l shingles, for every l. So a
-document may lengthen its prefix and ask for more shared shingles in return. Each picks the l that
-costs least: reading the longer prefix's posting lists against verifying the candidates that share l
-entries by chance. A pair is held to the smaller l of the two, then to the positional bound on what
-the rest can still add, and is at last verified on the whole texts.
-
-Links only matter between components, so large groups of near copies are first joined in stars (by
-minimum hashes, each link verified): afterwards a shingle whose documents are all in one component
-is settled, and only lists that span components are read. No pair within a component is made.
+Texts become sets of hashed five-word shingles; equal sets are one class. Every chunk of documents tells
+hash shards its distinct shingles and hears how many documents hold each, so a document can order its
+shingles by frequency (rarest first, then by hash). Two sets that overlap enough share at least l shingles
+of their l-prefixes, the first n - ceil(0.8 n) + l shingles, for every l. So a document may lengthen
+its prefix and ask for more shared shingles in return. Each picks the l that costs least: reading the
+longer prefix's posting lists against verifying the candidates that share l entries by chance. A pair is
+held to the smaller l of the two, then to the positional bound on what the rest can still add, and is at
+last verified on the whole texts. Most prefixes hold only shingles that no other document has.
+
+Links only matter between components, so near copies are first joined in stars around typical documents
+(by minimum hashes, each link verified), then in chains along the posting lists. A shingle whose documents
+are all in one component is settled; pairs are only made of what is left, never within a component.
 
 Null or wordless text has no shingles and no links. Rows with a null doc_id get n_shingles and no
 component; rows of one doc_id are one document. An empty table gives an empty result. Extra
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postern.llm.common import mix, pack, texts_of, unpack, write_table
+from postern.llm.common import chunked, mix, open_chunk, pack, texts_of, total_bytes, unpack, write_table
 from postern.llm.graph import components as connected
 
 SHINGLE = 5
@@ -38,9 +39,13 @@ SHINGLE = 5
 TIMES, OF = 80, 100
 #: Largest number of shared prefix shingles that a document asks for.
 MOST = 4
-#: Bytes of text for each cell of the frequency sketch, and the most cells (a byte each when broadcast): 64 MB.
-CELL_BYTES, MOST_CELL_BITS = 25, 26
+#: Bytes of text for each hash shard of all shingles.
+SHARD_BYTES = 8 << 20
+#: Rounds of chains along posting lists, and links that a document tries in each.
+CHAINS, TRIES = 3, 3
 BANDS, ROWS = 6, 3
+#: Hubs that a document is compared with before any pairs are looked for.
+HUBS = 3
 #: Documents in a pack of prefixes, and prefix shingles for each hash shard.
 PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
@@ -84,95 +89,118 @@ def prefix_length(n: int, l: int) -> int:  # noqa: E741
     return n - needed(n) + l
 
 
-def _heat(docs: DataFrame) -> np.ndarray:
-    """For each cell of shingles how frequent they are: 0 for what chance explains, else about the logarithm.
+def _sets(texts: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+    """Shingles of each text and a 128-bit hash of each set."""
+    sets = [shingles(t) for t in texts]
+    return sets, [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
 
-    Cells hold other shingles too, about as many in each: only what clearly exceeds the median counts.
-    A task sends its cells compressed, in slices; a slice is added up by one task.
-    """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_CELL_BITS, max(12, math.ceil(math.log2(size / CELL_BYTES + 1))))
-    slices = 64
-    cells = 1 << bits
-    step = cells // slices
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                total[(shingles(text) >> np.uint64(64 - bits)).astype(np.int64)] += np.uint32(1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([pack([total[k * step : (k + 1) * step]]) for k in range(slices)], pa.binary())], ["slice", "cells"])
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(step, np.uint32)
-        for batch in batches:
-            for x in batch.column("cells").to_pylist():
-                total += np.frombuffer(unpack(x)[0], np.uint32)
-        usual = float(np.median(total))
-        heat = np.where(total > 2 * usual + 8, np.log2(np.maximum(1, total - usual)) + 1, 0).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack([heat])], pa.binary())], ["slice", "cells"])
+def _split(h: np.ndarray, n_shards: int) -> np.ndarray:
+    """shard << 40 | 40 hash bits."""
+    return (h >> _40) % np.uint64(n_shards) << _40 | h & _KEY
 
-    got = sorted((r["slice"], bytes(r["cells"])) for r in docs.select("text").mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(add, "slice int, cells binary").collect())
-    return np.concatenate([np.frombuffer(unpack(x)[0], np.uint8) for _, x in got]) if got else np.zeros(cells, np.uint8)
 
+def _frequencies(chunks: DataFrame, n_shards: int) -> DataFrame:
+    """Each chunk's shingles that several sets hold, with the number of sets (as far as 65535).
 
-def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_hash, bands, prefix: the first prefix_length(n, MOST) shingles in order, as hashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(_heat(docs))
+    Equal sets of a chunk count once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heat = shared.value
-        shift = np.uint64(64 - (len(heat).bit_length() - 1))
         for batch in batches:
-            out: list[list] = [[] for _ in range(4)]
-            for text in texts_of(batch.column("text")):
-                h = shingles(text)
+            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                sets, names = _sets(open_chunk(blob)[1])
+                keys, n = np.unique(_split(np.concatenate([np.zeros(0, np.uint64), *dict(zip(names, sets, strict=True)).values()]), n_shards), return_counts=True)
+                if len(keys):
+                    yield _rows([(s, chunk, pack([_thin(keys[at]), n[at].astype(np.uint32)])) for s, at in _by_shard(keys)])
+
+    def count(key: tuple, got: pa.Table) -> pa.Table:
+        told = _told(got)
+        every = [_wide(x[0]) for _, x in told]
+        _, where = np.unique(np.concatenate(every), return_inverse=True)
+        n = np.bincount(where, np.concatenate([np.frombuffer(x[1], np.uint32) for _, x in told]))
+        out, at = [], 0
+        for (chunk, _), mine in zip(told, every, strict=True):
+            found = n[where[at : at + len(mine)]]
+            at += len(mine)
+            if (yes := found > 1).any():
+                out.append((chunk, pack([_thin(mine[yes]), np.minimum(found[yes], 65535).astype(np.uint16)])))
+        return _table(key[0].as_py(), out)
+
+    return chunks.mapInArrow(rows, _TOLD).groupBy("shard").applyInArrow(count, _TOLD)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("prefix", pa.binary()), ("place", pa.binary())])
+
+
+def _signatures(docs: DataFrame) -> DataFrame:
+    """doc_id, n, set_hash, bands; prefix and place: the shingles that several sets hold among the first prefix_length(n, MOST), and where they stand."""
+    chunks = chunked(docs)
+    n_shards = max(1, -(-total_bytes(chunks) // SHARD_BYTES))
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [(_wide(k) | np.uint64(s) << _40, np.frombuffer(c, np.uint16)) for s, (k, c) in ((s, unpack(x)) for s, x in zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True))]
+        known, count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(1, np.uint64), np.ones(1, np.uint16))
+        order = np.argsort(known)
+        known, count = known[order], count[order]
+        out: list[list] = [[] for _ in _SIGNED]
+        for blob in left.column("blob").to_pylist():
+            ids, texts = open_chunk(blob)
+            for doc, h, name in zip(ids, *_sets(texts), strict=True):
                 n = len(h)
-                hot = heat[(h >> shift).astype(np.int64)]
-                cold = h[hot == 0]
-                length = min(n, prefix_length(n, MOST))
-                # Within one heat any fixed order serves; hashes are scrambled so that it is not the cells'.
-                first = np.sort(mix(cold))[:length]
-                if len(first) < length:
-                    hots = hot[hot > 0]
-                    rest = mix(h[hot > 0])
-                    first = np.concatenate([first, rest[np.lexsort((rest, hots))][: length - len(first)]])
+                key = _split(h, n_shards)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                heat = np.where(known[at] == key, np.log2(count[at]).astype(np.int64) + 1, 0)
+                # Within one heat any fixed order serves.
+                first = np.lexsort((h, heat))[: min(n, prefix_length(n, MOST))]
+                place = np.flatnonzero(heat[first])
                 bands = [xxhash.xxh3_64_intdigest(np.array([(h * _PERMUTE[k]).min() for k in range(b * ROWS, (b + 1) * ROWS)]).tobytes() + bytes([b])) >> 1 for b in range(BANDS)] if n else []
-                for to, x in zip(out, (n, xxhash.xxh3_128_digest(h.tobytes()), bands, first.tobytes()), strict=True):
+                for to, x in zip(out, (doc, n, name, bands, h[first[place]].tobytes(), place.astype(np.int32).tobytes()), strict=True):
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], ["doc_id", "n", "set_hash", "bands", "prefix"])
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SIGNED, strict=True)], schema=_SIGNED)
 
-    return write_table(docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n long, set_hash binary, bands array<long>, prefix binary"), "signatures")
+    told = _frequencies(chunks, n_shards).withColumnRenamed("pack", "chunk")
+    return write_table(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sign, "doc_id long, n long, set_hash binary, bands array<long>, prefix binary, place binary"), "signatures")
 
 
 def _stars(reps: DataFrame) -> DataFrame:
-    """a, b: each document and the one that is smallest in most of its buckets.
+    """a, b: each document and the hubs of its buckets, HUBS at most.
 
-    A task links its own documents before it tells others of its smallest, so a large bucket is a few rows a task.
+    A bucket's hub is its most typical document: the one whose buckets are the fullest. Among copies that were
+    changed here and there, that is one with few changes, which most others are similar to. A task links its
+    own documents before it tells others of its hubs, so a large bucket is a few rows a task.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
+        fill: Counter = Counter()
         seen: list[tuple[int, list[int]]] = []
         for batch in batches:
             for doc, bands in zip(batch.column("doc_id").to_pylist(), batch.column("bands").to_pylist(), strict=True):
                 seen.append((doc, bands))
-                for k in bands:
-                    if doc < least.get(k, doc + 1):
-                        least[k] = doc
+                fill.update(bands)
+        typical = {doc: sum(math.log2(fill[k]) for k in bands) for doc, bands in seen}
+        hub: dict[int, tuple[float, int]] = {}
+        for doc, bands in seen:
+            for k in bands:
+                hub[k] = min(hub.get(k, (0.5, 0)), (-typical[doc], doc))
         out = []
         for doc, bands in seen:
-            votes = Counter(least[k] for k in bands if least[k] != doc)
-            if votes:
-                out.append((None, doc, min(votes, key=lambda d: (-votes[d], d))))
-        out += [(k, doc, doc) for k, doc in least.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], ["bucket", "a", "b"])
-
-    found = write_table(reps.select("doc_id", "bands").mapInArrow(local, "bucket long, a long, b long"), "buckets")
-    across = found.where("bucket is not null").groupBy("bucket").agg(F.min("a").alias("b"), F.collect_set("a").alias("all")).where(F.size("all") > 1)
-    votes = across.select(F.explode("all").alias("a"), "b").where("a <> b").groupBy("a", "b").count()
-    across = votes.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    return found.where("bucket is null").select("a", "b").unionByName(across).distinct()
+            votes = Counter(hub[k][1] for k in bands if hub[k][1] != doc)
+            out += [(None, doc, to, None, None) for to in sorted(votes, key=lambda d: (-votes[d], d))[:HUBS]]
+        out += [(k, doc, None, -t, fill[k]) for k, (t, doc) in hub.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["bucket", "a", "b", "typical", "fill"])
+
+    found = write_table(reps.select("doc_id", "bands").mapInArrow(local, "bucket long, a long, b long, typical double, fill long"), "buckets")
+    told = found.where("bucket is not null")
+    # Over all tasks: how full a bucket is, then how typical each local hub is, then each bucket's hubs.
+    fills = told.groupBy("bucket").agg(F.sum("fill").alias("all"), F.count("*").alias("tasks")).where("tasks > 1")
+    known = write_table(told.join(fills, "bucket").select("bucket", "a", F.log2("all").alias("weight")), "hubs")
+    best = known.groupBy("a").agg(F.sum("weight").alias("typical"))
+    hubs = known.join(best, "a").groupBy("bucket").agg(F.max(F.struct("typical", (-F.col("a")).alias("least"))).alias("top"), F.collect_set("a").alias("all"))
+    votes = hubs.select(F.explode("all").alias("a"), (-F.col("top.least")).alias("b")).where("a <> b").groupBy("a", "b").count()
+    across = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("b")).alias("least"))), asc=False), 1, HUBS).alias("top")).select("a", F.explode("top").alias("t")).select("a", (-F.col("t.least")).alias("b"))
+    return found.where("bucket is null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _members(real: DataFrame) -> DataFrame:
@@ -239,21 +267,20 @@ def _packs(labelled: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, PACK_DOCS):
                 b = batch.slice(at, PACK_DOCS)
                 prefix = b.column("prefix").to_pylist()
-                blob = pack([np.array(b.column(c).to_pylist(), np.int64) for c in ("doc_id", "n", "component")] + [np.array([len(p) // 8 for p in prefix], np.int64), b"".join(prefix)])
+                blob = pack([np.array(b.column(c).to_pylist(), np.int64) for c in ("doc_id", "n", "component")] + [np.array([len(p) // 8 for p in prefix], np.int64), b"".join(prefix), b"".join(b.column("place").to_pylist())])
                 yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + seq], pa.int64()), pa.array([sum(map(len, prefix)) // 8], pa.int64()), pa.array([blob], pa.binary())], ["pack", "entries", "blob"])
                 seq += 1
 
-    return write_table(labelled.select("doc_id", "n", "component", "prefix").mapInArrow(rows, "pack long, entries long, blob binary"), "packs")
+    return write_table(labelled.select("doc_id", "n", "component", "prefix", "place").mapInArrow(rows, "pack long, entries long, blob binary"), "packs")
 
 
 class Pack:
     def __init__(self, blob: bytes, n_shards: int) -> None:
-        ids, n, comp, sizes, prefix = unpack(blob)
+        ids, n, comp, sizes, prefix, place = unpack(blob)
         self.ids, self.n, self.comp, self.sizes = (np.frombuffer(x, np.int64) for x in (ids, n, comp, sizes))
-        h = np.frombuffer(prefix, np.uint64)
         self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
-        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.key = (h >> _40) % np.uint64(n_shards) << _40 | h & _KEY
+        self.place = np.frombuffer(place, np.int32).astype(np.int64)
+        self.key = _split(np.frombuffer(prefix, np.uint64), n_shards)
 
 
 def _thin(x: np.ndarray) -> np.ndarray:
@@ -326,26 +353,27 @@ def _spanning(key: tuple, got: pa.Table) -> pa.Table:
     return _table(key[0].as_py(), out)
 
 
-def best_l(n: int, spans: np.ndarray, documents: int) -> int:
-    """The number of shared prefix shingles to ask for. spans: components in the list of each prefix shingle, 0 if settled."""
+def best_l(n: int, place: np.ndarray, spans: np.ndarray, documents: int) -> int:
+    """The number of shared prefix shingles to ask for. spans: components in the list of the shingle at each place."""
     best, least = 1, math.inf
-    reads = np.cumsum(np.maximum(0, spans.astype(float) - 1))
     for l in range(1, min(MOST, needed(n)) + 1):  # noqa: E741
-        length = min(len(spans), prefix_length(n, l))
-        read = float(reads[length - 1])
+        read = float(np.maximum(0, spans[place < prefix_length(n, l)].astype(float) - 1).sum())
         chance = documents * (read / documents) ** l / math.factorial(l)
         if (cost := read + VERIFY * chance) < least:
             best, least = l, cost
     return best
 
 
+_POSTING = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("token", "doc_id", "n", "place", "level", "l", "most"))])
+
+
 def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: int) -> DataFrame:
-    """Each pack's entries of spanning shingles within the prefixes that its documents chose."""
+    """Entries of shingles whose lists span components, within the prefixes that their documents chose."""
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         told = list(zip(right.column("shard").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        for number, blob in zip(left.column("pack").to_pylist(), left.column("blob").to_pylist(), strict=True) if told else ():
+        for blob in left.column("blob").to_pylist() if told else ():
             p = Pack(blob, n_shards)
             parts = [(_wide(k) | np.uint64(s) << _40, np.frombuffer(c, np.uint32)) for s, (k, c) in ((s, unpack(x)) for s, x in told)]
             known, count = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
@@ -354,17 +382,46 @@ def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: in
             at = np.minimum(np.searchsorted(known, p.key), len(known) - 1)
             spans = np.where(known[at] == p.key, count[at], 0)
             ends = np.cumsum(p.sizes).tolist()
-            chosen = np.array([best_l(n, spans[e - s : e], documents) if s and spans[e - s : e].any() else 1 for n, s, e in zip(p.n.tolist(), p.sizes.tolist(), ends, strict=True)], np.int64)
+            chosen = np.array([best_l(n, p.place[e - s : e], spans[e - s : e], documents) if s and spans[e - s : e].any() else 1 for n, s, e in zip(p.n.tolist(), p.sizes.tolist(), ends, strict=True)], np.int64)
             reach = p.n - -(-TIMES * p.n // OF)  # prefix length without l
-            use = np.flatnonzero((spans > 0) & (p.place < (reach + chosen)[p.owner]))
-            use = use[np.argsort(p.key[use], kind="stable")]
+            # Shingles of no other document cannot be shared: where too little is left, the document is settled.
+            most = p.n - np.minimum(p.n, reach + MOST) + p.sizes
+            use = np.flatnonzero((spans > 0) & (p.place < (reach + chosen)[p.owner]) & (most >= p.n - reach)[p.owner])
             who = p.owner[use]
             level = np.maximum(1, p.place[use] - reach[who] + 1)
-            columns = (p.ids[who], p.comp[who], p.n[who], p.place[use], level, chosen[who])
-            out += [(s, number, pack([_thin(p.key[use][cut]), *(np.ascontiguousarray(c[cut]) for c in columns)])) for s, cut in _by_shard(p.key[use])] if len(use) else []
-        return pa.Table.from_batches([_rows(out)])
+            shard = (p.key[use] >> _40).astype(np.int32)
+            columns = ((p.key[use] & _KEY).astype(np.int64), p.ids[who], p.n[who], p.place[use], level, chosen[who], most[who])
+            out.append(pa.Table.from_arrays([pa.array(shard), *map(pa.array, columns)], schema=_POSTING))
+        return pa.concat_tables(out) if out else _POSTING.empty_table()
+
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, "shard int, token long, doc_id long, n long, place long, level long, l long, most long")
+
+
+class List:
+    """A shard's postings, by token and then in the order asked for."""
 
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, _TOLD)
+    def __init__(self, got: pa.Table, chained: bool) -> None:
+        self.token, self.ids, self.comp, self.n, self.place, self.level, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "place", "level", "l", "most"))
+        within = mix((self.ids + self.token).astype(np.uint64)) if chained else self.n
+        self.order = np.lexsort((self.ids, within, self.token))
+        t = self.token[self.order]
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+        self.lists = list(zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True)) if len(t) else []
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs of entries are of two components, near enough in size, with enough left to share."""
+        small, large = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
+        return (self.comp[x] != self.comp[y]) & (OF * small >= TIMES * large) & ((TIMES + OF) * np.minimum(self.most[x], self.most[y]) >= TIMES * (small + large))
+
+
+def _chained(key: tuple, got: pa.Table) -> pa.Table:
+    """Each entry with the next one of its list (in an order of the list's own) that is of another component."""
+    p = List(got, True)
+    x, y = p.order[:-1], p.order[1:]
+    good = (p.token[x] == p.token[y]) & p.possible(x, y)
+    a, b = p.ids[x[good]], p.ids[y[good]]
+    pairs, n = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_counts=True)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n})
 
 
 _PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "l", "shared", "counted", "last_a", "last_b")])
@@ -372,32 +429,36 @@ _PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "l", "shared
 
 def _pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of documents of different components that share a shingle of this shard, with what they share here."""
-    told = [unpack(p) for b in batches for p in b.column("payload").to_pylist()]
-    k = np.concatenate([_wide(x[0]) for x in told])
-    ids, comp, n, place, level, chosen = (np.concatenate([np.frombuffer(x[j], np.int64) for x in told]) for j in range(1, 7))
-    order = np.lexsort((n, k))
-    k, ids, comp, n, place, level, chosen = (x[order] for x in (k, ids, comp, n, place, level, chosen))
-    first = np.flatnonzero(np.diff(k, prepend=k[0] + np.uint64(1)))
+    p = List(pa.Table.from_batches(batches), False)
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
     def out() -> pa.RecordBatch:
         x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        swap = ids[x] > ids[y]
+        swap = p.ids[x] > p.ids[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        l = np.minimum(chosen[x], chosen[y])  # noqa: E741
-        counted = (np.maximum(level[x], level[y]) <= l).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[x], ids[y], n[x], n[y], l, np.ones(len(x), np.int64), counted, place[x], place[y])], schema=_PAIRS)
-
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(k)], strict=True):
-        for x in range(a, b - 1):  # sizes ascend: partners end where they grow too large
-            end = x + 1 + int(np.searchsorted(n[x + 1 : b], OF * n[x] // TIMES, side="right"))
-            y = np.arange(x + 1, end)
-            y = y[comp[y] != comp[x]]
+        l = np.minimum(p.l[x], p.l[y])  # noqa: E741
+        counted = np.maximum(p.level[x], p.level[y]) <= l
+        _, first, where = np.unique(np.stack([p.ids[x], p.ids[y]], 1), axis=0, return_index=True, return_inverse=True)
+        where = where.reshape(-1)
+        last_a, last_b = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        np.maximum.at(last_a, where, p.place[x])
+        np.maximum.at(last_b, where, p.place[y])
+        x0, y0 = x[first], y[first]
+        columns = (p.ids[x0], p.ids[y0], p.n[x0], p.n[y0], l[first], np.bincount(where), np.bincount(where, counted).astype(np.int64), last_a, last_b)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
+
+    for a, b in p.lists:
+        for k in range(a, b - 1):  # sizes ascend: partners end where they grow too large
+            x = p.order[k]
+            y = p.order[k + 1 : b]
+            y = y[: np.searchsorted(p.n[y], OF * p.n[x] // TIMES, side="right")]
+            xs = np.full(len(y), x)
+            y = y[p.possible(xs, y)]
             if len(y):
-                held.append((np.full(len(y), x), y))
+                held.append((xs[: len(y)], y))
                 size += len(y)
-                if size > 200_000:
+                if size > 1_000_000:
                     yield out()
                     held, size = [], 0
     if held:
@@ -412,6 +473,27 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return found.where((F.col("counted") >= F.col("l")) & ((TIMES + OF) * most >= TIMES * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _spanning_only(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings with their components' labels of now, without the lists that one component has come to hold.
+
+    The smallest and the largest label of a list are partial aggregates, so settled lists are never gathered.
+    """
+    now = write_table(_labelled(postings.drop("component"), labels), "postings")
+    open_lists = now.groupBy("shard", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shard", "token")
+    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "place", "level", "l", "most"), "postings")
+
+
+def _chain_links(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Verified links among each document's TRIES most frequent neighbours along the lists."""
+    next_to = postings.groupBy("shard").applyInArrow(_chained, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    top = next_to.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("b")).alias("least"))), asc=False), 1, TRIES).alias("top"))
+    return write_table(_verified(top.select("a", F.explode("top").alias("t")).select("a", (-F.col("t.least")).alias("b")), docs), "chains")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same shingles), component_id."""
     signed = _signatures(docs)
@@ -422,13 +504,20 @@ def join(docs: DataFrame) -> DataFrame:
     same = member.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
     near = write_table(_verified(_stars(reps), docs), "stars")
     labels = connected(near)
-    labelled = reps.select("doc_id", "n", "prefix").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    packs = _packs(labelled)
+    packs = _packs(_labelled(reps.select("doc_id", "n", "prefix", "place"), labels))
     sums = packs.agg(F.sum("entries").alias("entries")).first()["entries"] or 0
     documents = max(1, reps.count())
     n_shards = max(1, -(-sums // SHARD_SHINGLES))
     answers = write_table(_lists(packs, n_shards).groupBy("shard").applyInArrow(_spanning, _TOLD), "spanning")
-    links = _verified(_candidates(_postings(packs, answers, n_shards, documents)), docs)
+    postings = _spanning_only(_postings(packs, answers, n_shards, documents), labels)
+    for _ in range(CHAINS):
+        links = _chain_links(postings, docs)
+        if links.isEmpty():
+            break
+        near = near.unionByName(links)
+        labels = connected(near)
+        postings = _spanning_only(postings, labels)
+    links = _verified(_candidates(postings), docs)
     found = connected(near.unionByName(links).unionByName(same))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left").join(found.withColumnsRenamed({"node": "doc_id", "component": "component_id"}), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
