@@ -134,7 +134,10 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_hash", pa.
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, set_hash, bands; prefix and place: the shingles that several sets hold among the first prefix_length(n, MOST), and where they stand."""
+    """doc_id, n, set_hash, bands; prefix and place: the shingles that several sets hold among the first prefix_length(n, MOST), and where they stand.
+
+    A shingle is written as its heat and 58 bits of its hash, so that numbers sort as prefixes do.
+    """
     chunks = chunked(docs)
     n_shards = max(1, -(-total_bytes(chunks) // SHARD_BYTES))
 
@@ -155,7 +158,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 first = np.lexsort((h, heat))[: min(n, prefix_length(n, MOST))]
                 place = np.flatnonzero(heat[first])
                 bands = [xxhash.xxh3_64_intdigest(np.array([(h * _PERMUTE[k]).min() for k in range(b * ROWS, (b + 1) * ROWS)]).tobytes() + bytes([b])) >> 1 for b in range(BANDS)] if n else []
-                for to, x in zip(out, (doc, n, name, bands, h[first[place]].tobytes(), place.astype(np.int32).tobytes()), strict=True):
+                ordered = heat[first].astype(np.uint64) << np.uint64(58) | h[first] >> np.uint64(6)
+                for to, x in zip(out, (doc, n, name, bands, ordered[place].tobytes(), place.astype(np.int32).tobytes()), strict=True):
                     to.append(x)
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(out, _SIGNED, strict=True)], schema=_SIGNED)
 
@@ -280,7 +284,8 @@ class Pack:
         self.ids, self.n, self.comp, self.sizes = (np.frombuffer(x, np.int64) for x in (ids, n, comp, sizes))
         self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
         self.place = np.frombuffer(place, np.int32).astype(np.int64)
-        self.key = _split(np.frombuffer(prefix, np.uint64), n_shards)
+        self.token = np.frombuffer(prefix, np.uint64)
+        self.key = _split(self.token, n_shards)
 
 
 def _thin(x: np.ndarray) -> np.ndarray:
@@ -364,7 +369,7 @@ def best_l(n: int, place: np.ndarray, spans: np.ndarray, documents: int) -> int:
     return best
 
 
-_POSTING = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("token", "doc_id", "n", "place", "level", "l", "most"))])
+_POSTING = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("token", "doc_id", "n", "l", "most")), ("tokens", pa.binary()), ("places", pa.binary())])
 
 
 def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: int) -> DataFrame:
@@ -388,20 +393,21 @@ def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: in
             most = p.n - np.minimum(p.n, reach + MOST) + p.sizes
             use = np.flatnonzero((spans > 0) & (p.place < (reach + chosen)[p.owner]) & (most >= p.n - reach)[p.owner])
             who = p.owner[use]
-            level = np.maximum(1, p.place[use] - reach[who] + 1)
-            shard = (p.key[use] >> _40).astype(np.int32)
-            columns = ((p.key[use] & _KEY).astype(np.int64), p.ids[who], p.n[who], p.place[use], level, chosen[who], most[who])
-            out.append(pa.Table.from_arrays([pa.array(shard), *map(pa.array, columns)], schema=_POSTING))
+            cuts = np.searchsorted(who, np.arange(len(p.n) + 1)).tolist()
+            token, place = p.token[use], p.place[use].astype(np.int32)
+            tokens, places = ([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)] for x in (token, place))
+            ints = (token.astype(np.int64), p.ids[who], p.n[who], chosen[who], most[who])
+            out.append(pa.Table.from_arrays([pa.array((p.key[use] >> _40).astype(np.int32)), *map(pa.array, ints), pa.array([tokens[k] for k in who.tolist()], pa.binary()), pa.array([places[k] for k in who.tolist()], pa.binary())], schema=_POSTING))
         return pa.concat_tables(out) if out else _POSTING.empty_table()
 
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, "shard int, token long, doc_id long, n long, place long, level long, l long, most long")
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, "shard int, token long, doc_id long, n long, l long, most long, tokens binary, places binary")
 
 
 class List:
     """A shard's postings, by token and then in the order asked for."""
 
     def __init__(self, got: pa.Table, chained: bool) -> None:
-        self.token, self.ids, self.comp, self.n, self.place, self.level, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "place", "level", "l", "most"))
+        self.token, self.ids, self.comp, self.n, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "l", "most"))
         within = mix((self.ids + self.token).astype(np.uint64)) if chained else self.n
         self.order = np.lexsort((self.ids, within, self.token))
         t = self.token[self.order]
@@ -424,53 +430,70 @@ def _chained(key: tuple, got: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "n": n})
 
 
-_PAIRS = pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb", "l", "shared", "counted", "last_a", "last_b")])
+
+
+class Entry:
+    """A document in a list: its posted shingles as bits, in prefix order, all and within each l-prefix."""
+
+    def __init__(self, n: int, l: int, tokens: list[int], places: list[int], bit: dict[int, int]) -> None:  # noqa: E741
+        self.n, self.l = n, l
+        self.place = dict(zip(tokens, places, strict=True))
+        self.bits = sum(1 << bit[t] for t in tokens)
+        reach = n - needed(n)
+        self.within = [sum(1 << bit[t] for t, p in self.place.items() if p < reach + k) for k in range(MOST + 1)]
+
+
+def _passes(x: Entry, y: Entry, token: int, order: list[int]) -> bool:
+    """Whether a pair is a candidate, told in the list of its first common shingle only."""
+    common = x.bits & y.bits
+    if not common or order[(common & -common).bit_length() - 1] != token:
+        return False
+    l = min(x.l, y.l)  # noqa: E741
+    if (x.within[l] & y.within[l]).bit_count() < l:
+        return False
+    last = order[common.bit_length() - 1]
+    most = common.bit_count() + min(x.n - x.place[last], y.n - y.place[last]) - 1
+    return (TIMES + OF) * most >= TIMES * (x.n + y.n)
 
 
 def _pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of documents of different components that share a shingle of this shard, with what they share here."""
-    p = List(pa.Table.from_batches(batches), False)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def out() -> pa.RecordBatch:
-        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        swap = p.ids[x] > p.ids[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        l = np.minimum(p.l[x], p.l[y])  # noqa: E741
-        counted = np.maximum(p.level[x], p.level[y]) <= l
-        _, first, where = np.unique(np.stack([p.ids[x], p.ids[y]], 1), axis=0, return_index=True, return_inverse=True)
-        where = where.reshape(-1)
-        last_a, last_b = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        np.maximum.at(last_a, where, p.place[x])
-        np.maximum.at(last_b, where, p.place[y])
-        x0, y0 = x[first], y[first]
-        columns = (p.ids[x0], p.ids[y0], p.n[x0], p.n[y0], l[first], np.bincount(where), np.bincount(where, counted).astype(np.int64), last_a, last_b)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
+    """Candidate pairs: of different components, sharing as many prefix shingles as asked for, able to overlap enough.
 
+    Each posting carries all that its document posted, so a pair is judged whole where it first meets and
+    nothing is made of pairs that fail.
+    """
+    got = pa.Table.from_batches(batches)
+    p = List(got, False)
+    tokens = [np.frombuffer(x, np.uint64).tolist() for x in got.column("tokens").to_pylist()]
+    places = [np.frombuffer(x, np.int32).tolist() for x in got.column("places").to_pylist()]
+    out: list[tuple[int, int]] = []
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
     for a, b in p.lists:
-        for k in range(a, b - 1):  # sizes ascend: partners end where they grow too large
-            x = p.order[k]
-            y = p.order[k + 1 : b]
+        own = p.order[a:b]
+        if len(set(p.comp[own].tolist())) < 2:
+            continue
+        order = sorted({t for k in own.tolist() for t in tokens[k]})
+        bit = {t: k for k, t in enumerate(order)}
+        entries = {k: Entry(int(p.n[k]), int(p.l[k]), tokens[k], places[k], bit) for k in own.tolist()}
+        token = int(p.token[own[0]]) & 0xFFFFFFFFFFFFFFFF
+        for i in range(len(own) - 1):  # sizes ascend: partners end where they grow too large
+            x = own[i]
+            y = own[i + 1 :]
             y = y[: np.searchsorted(p.n[y], OF * p.n[x] // TIMES, side="right")]
-            xs = np.full(len(y), x)
-            y = y[p.possible(xs, y)]
-            if len(y):
-                held.append((xs[: len(y)], y))
-                size += len(y)
-                if size > 1_000_000:
-                    yield out()
-                    held, size = [], 0
-    if held:
-        yield out()
+            one = entries[int(x)]
+            for k in y[p.possible(np.full(len(y), x), y)].tolist():
+                if _passes(one, entries[k], token, order):
+                    u, v = int(p.ids[x]), int(p.ids[k])
+                    out.append((min(u, v), max(u, v)))
+            if len(out) > 100_000:
+                yield flush()
+                out = []
+    if out:
+        yield flush()
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as asked for and can still overlap enough."""
-    found = postings.groupBy("shard").applyInArrow(_pairs, ", ".join(f"`{c}` long" for c in _PAIRS.names))
-    found = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.sum("shared").alias("shared"), F.sum("counted").alias("counted"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"))
-    most = F.col("shared") + F.least(F.col("na") - F.col("last_a") - 1, F.col("nb") - F.col("last_b") - 1)
-    return found.where((F.col("counted") >= F.col("l")) & ((TIMES + OF) * most >= TIMES * (F.col("na") + F.col("nb")))).select("a", "b")
+    return postings.groupBy("shard").applyInArrow(_pairs, "a long, b long").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -484,7 +507,7 @@ def _spanning_only(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """
     now = write_table(_labelled(postings.drop("component"), labels), "postings")
     open_lists = now.groupBy("shard", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shard", "token")
-    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "place", "level", "l", "most"), "postings")
+    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "l", "most", "tokens", "places"), "postings")
 
 
 def _chain_links(postings: DataFrame, docs: DataFrame) -> DataFrame:
