@@ -27,10 +27,10 @@ from postern.llm.common import pack, texts_of, unpack, write_table
 from postern.llm.token_coder import decode, encode
 
 #: Ids that a record holds before it is closed (documents are never split between records).
-RECORD_IDS = 4 << 20
+RECORD_IDS = 2 << 20
 END_ID = 1
 #: White-space separated words whose ids a worker keeps before it starts anew, and the longest that it takes.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 64
+CACHE_WORDS, CACHE_BYTES = 300_000, 64
 BITS = 16
 
 
