@@ -46,6 +46,8 @@ CHAINS, TRIES = 3, 3
 BANDS, ROWS = 6, 3
 #: Hubs that a document is compared with before any pairs are looked for.
 HUBS = 3
+#: Components in a list from which its pairs are judged whole in place; shorter lists' pairs are counted by shuffle.
+LONG = 64
 #: Documents in a pack of prefixes, and prefix shingles for each hash shard.
 PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
@@ -68,7 +70,7 @@ def shingles(text: bytes) -> np.ndarray:
     words = word_list(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     get, put, hash_of = _WORDS.get, _WORDS.setdefault, xxhash.xxh3_64_intdigest
     h = np.array([get(w) or (put(w, hash_of(w)) if len(w) <= 64 else hash_of(w)) for w in words], np.uint64)
@@ -369,7 +371,7 @@ def best_l(n: int, place: np.ndarray, spans: np.ndarray, documents: int) -> int:
     return best
 
 
-_POSTING = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("token", "doc_id", "n", "l", "most")), ("tokens", pa.binary()), ("places", pa.binary())])
+_POSTING = pa.schema([("shard", pa.int32()), *((c, pa.int64()) for c in ("token", "doc_id", "n", "place", "l", "most")), ("tokens", pa.binary()), ("places", pa.binary())])
 
 
 def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: int) -> DataFrame:
@@ -394,20 +396,23 @@ def _postings(packs: DataFrame, answers: DataFrame, n_shards: int, documents: in
             use = np.flatnonzero((spans > 0) & (p.place < (reach + chosen)[p.owner]) & (most >= p.n - reach)[p.owner])
             who = p.owner[use]
             cuts = np.searchsorted(who, np.arange(len(p.n) + 1)).tolist()
-            token, place = p.token[use], p.place[use].astype(np.int32)
+            token, place = p.token[use], (p.place[use] * 2 + (spans[use] > LONG)).astype(np.int32)
             tokens, places = ([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)] for x in (token, place))
-            ints = (token.astype(np.int64), p.ids[who], p.n[who], chosen[who], most[who])
-            out.append(pa.Table.from_arrays([pa.array((p.key[use] >> _40).astype(np.int32)), *map(pa.array, ints), pa.array([tokens[k] for k in who.tolist()], pa.binary()), pa.array([places[k] for k in who.tolist()], pa.binary())], schema=_POSTING))
+            ints = (token.astype(np.int64), p.ids[who], p.n[who], p.place[use], chosen[who], most[who])
+            # Frequent shingles come last in a prefix: those that meet in a long list are few, and so are their documents.
+            long = (spans[use] > LONG).tolist()
+            carried = [pa.array([x[k] if yes else None for k, yes in zip(who.tolist(), long, strict=True)], pa.binary()) for x in (tokens, places)]
+            out.append(pa.Table.from_arrays([pa.array((p.key[use] >> _40).astype(np.int32)), *map(pa.array, ints), *carried], schema=_POSTING))
         return pa.concat_tables(out) if out else _POSTING.empty_table()
 
-    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, "shard int, token long, doc_id long, n long, l long, most long, tokens binary, places binary")
+    return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(rows, "shard int, token long, doc_id long, n long, place long, l long, most long, tokens binary, places binary")
 
 
 class List:
     """A shard's postings, by token and then in the order asked for."""
 
     def __init__(self, got: pa.Table, chained: bool) -> None:
-        self.token, self.ids, self.comp, self.n, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "l", "most"))
+        self.token, self.ids, self.comp, self.n, self.place, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "place", "l", "most"))
         within = mix((self.ids + self.token).astype(np.uint64)) if chained else self.n
         self.order = np.lexsort((self.ids, within, self.token))
         t = self.token[self.order]
@@ -433,21 +438,26 @@ def _chained(key: tuple, got: pa.Table) -> pa.Table:
 
 
 class Entry:
-    """A document in a list: its posted shingles as bits, in prefix order, all and within each l-prefix."""
+    """A document in a list: its posted shingles as bits, in prefix order: all, those in long lists, and those within each l-prefix.
+
+    places: twice the place, plus one where the shingle's list is long.
+    """
 
     def __init__(self, n: int, l: int, tokens: list[int], places: list[int], bit: dict[int, int]) -> None:  # noqa: E741
         self.n, self.l = n, l
-        self.place = dict(zip(tokens, places, strict=True))
+        self.place = {t: p >> 1 for t, p in zip(tokens, places, strict=True)}
         self.bits = sum(1 << bit[t] for t in tokens)
+        self.long = sum(1 << bit[t] for t, p in zip(tokens, places, strict=True) if p & 1)
         reach = n - needed(n)
         self.within = [sum(1 << bit[t] for t, p in self.place.items() if p < reach + k) for k in range(MOST + 1)]
 
 
 def _passes(x: Entry, y: Entry, token: int, order: list[int]) -> bool:
-    """Whether a pair is a candidate, told in the list of its first common shingle only."""
-    common = x.bits & y.bits
-    if not common or order[(common & -common).bit_length() - 1] != token:
+    """Whether a pair is a candidate, told in the first long list that both are in and nowhere else."""
+    meet = x.long & y.long
+    if not meet or order[(meet & -meet).bit_length() - 1] != token:
         return False
+    common = x.bits & y.bits
     l = min(x.l, y.l)  # noqa: E741
     if (x.within[l] & y.within[l]).bit_count() < l:
         return False
@@ -456,44 +466,75 @@ def _passes(x: Entry, y: Entry, token: int, order: list[int]) -> bool:
     return (TIMES + OF) * most >= TIMES * (x.n + y.n)
 
 
+_PAIRS = pa.schema([*((c, pa.int64()) for c in ("a", "b", "na", "nb", "l", "shared", "counted", "last_a", "last_b")), ("sure", pa.bool_())])
+
+
+def _long_pairs(p: List, own: np.ndarray, tokens: list, places: list) -> Iterator[tuple[int, int]]:
+    """Candidates of a long list. Its postings carry all that their documents posted, so a pair is judged where it first meets."""
+    held = {k: (np.frombuffer(tokens[k], np.uint64).tolist(), np.frombuffer(places[k], np.int32).tolist()) for k in own.tolist()}
+    order = sorted({t for ts, _ in held.values() for t in ts})
+    bit = {t: k for k, t in enumerate(order)}
+    entries = {k: Entry(int(p.n[k]), int(p.l[k]), ts, ps, bit) for k, (ts, ps) in held.items()}
+    token = int(p.token[own[0]]) & 0xFFFFFFFFFFFFFFFF
+    for i in range(len(own) - 1):  # sizes ascend: partners end where they grow too large
+        x, y = own[i], own[i + 1 :]
+        y = y[: np.searchsorted(p.n[y], OF * p.n[x] // TIMES, side="right")]
+        one = entries[int(x)]
+        for k in y[p.possible(np.full(len(y), x), y)].tolist():
+            if _passes(one, entries[k], token, order):
+                yield int(x), k
+
+
 def _pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs: of different components, sharing as many prefix shingles as asked for, able to overlap enough.
+    """Pairs of documents of different components: candidates of long lists, and what pairs share in this shard's short lists.
 
-    Each posting carries all that its document posted, so a pair is judged whole where it first meets and
-    nothing is made of pairs that fail.
+    A pair that meets in both kinds is judged rightly in the long list, whatever the short lists alone say.
     """
     got = pa.Table.from_batches(batches)
     p = List(got, False)
-    tokens = [np.frombuffer(x, np.uint64).tolist() for x in got.column("tokens").to_pylist()]
-    places = [np.frombuffer(x, np.int32).tolist() for x in got.column("places").to_pylist()]
-    out: list[tuple[int, int]] = []
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+    tokens, places = (got.column(c).to_pylist() for c in ("tokens", "places"))
+    reach = p.n - -(-TIMES * p.n // OF)
+    level = np.maximum(1, p.place - reach + 1)
+    sure: list[tuple[int, int]] = []
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def rows() -> pa.RecordBatch:
+        s = np.array(sure, np.int64).reshape(-1, 2)
+        x, y = np.concatenate([*xs, s[:, 0]]), np.concatenate([*ys, s[:, 1]])
+        swap = p.ids[x] > p.ids[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        l = np.minimum(p.l[x], p.l[y])  # noqa: E741
+        counted = (np.maximum(level[x], level[y]) <= l).astype(np.int64)
+        known = np.arange(len(x)) >= len(x) - len(s)
+        columns = (p.ids[x], p.ids[y], p.n[x], p.n[y], l, np.ones(len(x), np.int64), counted, p.place[x], p.place[y], known)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_PAIRS)
+
     for a, b in p.lists:
         own = p.order[a:b]
         if len(set(p.comp[own].tolist())) < 2:
             continue
-        order = sorted({t for k in own.tolist() for t in tokens[k]})
-        bit = {t: k for k, t in enumerate(order)}
-        entries = {k: Entry(int(p.n[k]), int(p.l[k]), tokens[k], places[k], bit) for k in own.tolist()}
-        token = int(p.token[own[0]]) & 0xFFFFFFFFFFFFFFFF
-        for i in range(len(own) - 1):  # sizes ascend: partners end where they grow too large
-            x = own[i]
+        if tokens[own[0]] is not None:
+            for pair in _long_pairs(p, own, tokens, places):
+                sure.append(pair)
+                if len(sure) >= 100_000:
+                    yield rows()
+                    sure, xs, ys = [], xs[:1], ys[:1]
+            continue
+        for i in range(len(own) - 1):
             y = own[i + 1 :]
-            y = y[: np.searchsorted(p.n[y], OF * p.n[x] // TIMES, side="right")]
-            one = entries[int(x)]
-            for k in y[p.possible(np.full(len(y), x), y)].tolist():
-                if _passes(one, entries[k], token, order):
-                    u, v = int(p.ids[x]), int(p.ids[k])
-                    out.append((min(u, v), max(u, v)))
-            if len(out) > 100_000:
-                yield flush()
-                out = []
-    if out:
-        yield flush()
+            x = np.full(len(y), own[i])
+            good = p.possible(x, y)
+            xs.append(x[good])
+            ys.append(y[good])
+    yield rows()
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("shard").applyInArrow(_pairs, "a long, b long").distinct()
+    """Pairs that share as many prefix shingles as asked for and can still overlap enough."""
+    found = postings.groupBy("shard").applyInArrow(_pairs, ", ".join(f"`{c}` {'boolean' if c == 'sure' else 'long'}" for c in _PAIRS.names))
+    found = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("l").alias("l"), F.sum("shared").alias("shared"), F.sum("counted").alias("counted"), F.max("last_a").alias("last_a"), F.max("last_b").alias("last_b"), F.bool_or("sure").alias("sure"))
+    most = F.col("shared") + F.least(F.col("na") - F.col("last_a") - 1, F.col("nb") - F.col("last_b") - 1)
+    return found.where(F.col("sure") | (F.col("counted") >= F.col("l")) & ((TIMES + OF) * most >= TIMES * (F.col("na") + F.col("nb")))).select("a", "b")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -507,7 +548,7 @@ def _spanning_only(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """
     now = write_table(_labelled(postings.drop("component"), labels), "postings")
     open_lists = now.groupBy("shard", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shard", "token")
-    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "l", "most", "tokens", "places"), "postings")
+    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "place", "l", "most", "tokens", "places"), "postings")
 
 
 def _chain_links(postings: DataFrame, docs: DataFrame) -> DataFrame:
