@@ -135,7 +135,7 @@ def html_text(spark, sf):
 def lookalike(spark, sf):
     label = F.concat(pick(["micros0ft", "paypa1", "netfliix", "amazom", "example", "googl", "dropbox", "linkedln", "faceb00k"], F.col("c_custkey")), F.when(F.col("c_custkey") % 7 == 0, "x").otherwise(""))
     best = rules.lookalike(F.col("label"))
-    return table(spark, sf, "customer").select("c_custkey", label.alias("label")).select("c_custkey", "label", best["distance"].alias("distance"), best["brand"].alias("brand"))
+    return table(spark, sf, "customer").select("c_custkey", label.alias("label")).select("c_custkey", "label", F.coalesce(best["distance"], F.lit(0)).alias("distance"), F.coalesce(best["brand"], F.lit("")).alias("brand"))
 
 
 _NAMES = ["Microsoft Support", "Your Apple ID", "first class groups", "PayPal or Google", "Ann Example", "netflixbilling team", "USPS parcel"]
@@ -289,7 +289,7 @@ def oracle_sql() -> dict[str, str]:
         "email_iocs": r"WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pM\pN_.!#$%&''*+/=?^`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS v FROM documents) SELECT lower(v) AS value, count(*) AS n, min(doc_id) AS first_doc FROM h GROUP BY 1",
         "ipv4_iocs": r"WITH h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS ip FROM documents) SELECT ip, regexp_full_match(ip, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}') AS valid, replace(ip, '.', '[.]') AS inert, min(doc_id) AS first_doc, count(*) AS docs FROM h GROUP BY ip",
         "html_text": r"WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t",
-        "lookalike": f"WITH l AS (SELECT c_custkey, {sql_pick(_LABELS, 'c_custkey')} || CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END AS label FROM customer), d AS (SELECT l.*, levenshtein(label, b.target) AS d, b.ord, b.brand FROM l, (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)}, {chr(39)}{t}{chr(39)})' for k, n, t in _NEAR)}) AS b(ord, brand, target)), n AS (SELECT c_custkey, min(d * 100 + ord) AS best FROM d WHERE d BETWEEN 1 AND 2 GROUP BY 1) SELECT l.c_custkey, label, CAST(best // 100 AS INT) AS distance, (SELECT brand FROM {_BRANDS_SQL} WHERE b.ord = best % 100) AS brand FROM l LEFT JOIN n USING (c_custkey)",
+        "lookalike": f"WITH l AS (SELECT c_custkey, {sql_pick(_LABELS, 'c_custkey')} || CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END AS label FROM customer), d AS (SELECT l.*, levenshtein(label, b.target) AS d, b.ord, b.brand FROM l, (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)}, {chr(39)}{t}{chr(39)})' for k, n, t in _NEAR)}) AS b(ord, brand, target)), n AS (SELECT c_custkey, min(d * 100 + ord) AS best FROM d WHERE d BETWEEN 1 AND 2 GROUP BY 1) SELECT l.c_custkey, label, CAST(coalesce(best // 100, 0) AS INT) AS distance, coalesce((SELECT brand FROM {_BRANDS_SQL} WHERE b.ord = best % 100), '') AS brand FROM l LEFT JOIN n USING (c_custkey)",
         "brand_substring": f"WITH s AS (SELECT s_suppkey, {sql_pick(_NAMES, 's_suppkey')} AS display FROM supplier) SELECT s_suppkey, display, (SELECT arg_min(brand, ord) FROM {_BRANDS_SQL} WHERE contains(lower(display), brand)) AS brand FROM s",
         "path_terms": f"SELECT o_orderkey, array_to_string(list_sort(list_filter([{_q(intel.CREDENTIAL_PATH_TERMS)}], lambda t: list_contains(regexp_split_to_array(lower({sql_pick(_PATHS, 'o_orderkey')}), '[^a-z0-9]+'), t))), ',') AS terms FROM orders",
         "lexicon_hits": f"WITH d AS (SELECT doc_id, {sql_pick(syn.PHRASES, 'doc_id')} || ' ' || lang || ' ' || {sql_pick(syn.PHRASES, 'floor(doc_id / 3)')} || ' ' || left(text, 40) AS body FROM documents) SELECT doc_id, {', '.join(_lexicon_sql(n) for n in ('urgency', 'credentials', 'financial', 'threat', 'secrecy', 'salutation'))} FROM d",

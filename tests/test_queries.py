@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck():
 
 def rows(frame):
     cells = frame[sorted(frame.columns)].astype(object)
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else v
+    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v == int(v) else v
     return sorted(str(tuple(map(plain, r))) for r in cells.itertuples(index=False))
 
 
