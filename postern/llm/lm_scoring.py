@@ -1,6 +1,8 @@
 """Language-model scoring from a log-frequency Bloom filter of quantised n-gram counts.
 
-Training tokens are counted exactly, a chunk at a time and then by hash shard. An n-gram of count c
+Training tokens are counted exactly, a chunk at a time and then by hash shard. A word's continuations are
+its distinct successors in the whole training text: the pair shards, which hold each distinct pair once,
+count them by history word and tell the words' shards. An n-gram of count c
 is put into its shard's Bloom filter once for each of the levels 1..q(c), q logarithmic. A count is
 read back by probing level 1, 2, ... until one is absent, so estimates never fall below the level
 that was stored. Word counts, continuation counts and word-pair counts are all kept so, and
@@ -32,12 +34,14 @@ from postern.llm.common import chunked, mix, open_chunk, pack, total_bytes, unpa
 #: Raw text bytes for each hash shard; a shard is handled by one task in memory.
 SHARD_BYTES = 8 << 20
 BITS_PER_ENTRY, HASHES = 10, 5
+#: Keys that a filter is asked for at once.
+PROBES = 1 << 17
 #: Quantisation: level q stands for counts of about LOG_BASE ** (q - 1).
 LOG_BASE = 1.25
 BROADCAST_BYTES = 256 << 20
 #: The end token (also the history of a document's first word); no word holds a tab.
 END = b"\t"
-WORD, PAIR = 0, 1
+WORD, PAIR, CONT = 0, 1, 2
 _CONT = np.uint64(0xA5A5A5A55A5A5A5A)
 _LEVELS = np.arange(0, 256)
 #: Mean count of a level.
@@ -87,7 +91,10 @@ class Filter:
             a = a + b
 
     def levels(self, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
-        """Probes level after level until one is absent."""
+        """Probes level after level until one is absent, so many keys at a time that the probes stay small."""
+        return np.concatenate([self._levels(keys[k : k + PROBES], shards[k : k + PROBES]) for k in range(0, max(1, len(keys)), PROBES)])
+
+    def _levels(self, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         for level in range(1, 256):
@@ -111,7 +118,7 @@ def held_out(doc_id: int | None) -> bool:
 class Chunk:
     """A chunk's tokens as numbers: `ids` of all documents end to end (END, words, END, words, ..., END)."""
 
-    def __init__(self, blob: bytes, n_shards: int) -> None:
+    def __init__(self, blob: bytes, n_shards: int, pairs: bool = True) -> None:
         self.doc_ids, texts = open_chunk(blob)
         number: dict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
@@ -129,11 +136,13 @@ class Chunk:
         self.training = np.array([not held_out(d) for d in self.doc_ids], np.bool_)
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.tokens), np.uint64, len(self.tokens))
         self.word_shard = (self.hash % np.uint64(n_shards)).astype(np.int64)
+        self.in_training = np.repeat(self.training, self.sizes)
+        if not pairs:
+            return
         h = self.hash
         self.pair_key = mix(h[self.ids[:-1]] * np.uint64(0xD6E8FEB86659FD93) + h[self.ids[1:]])
         self.pair_shard = (self.pair_key >> np.uint64(40)) % np.uint64(n_shards)
         self.pair_key &= np.uint64((1 << 40) - 1)
-        self.in_training = np.repeat(self.training, self.sizes)
 
     def pairs(self, all_documents: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """shard, keys (ascending), training counts, one place of each key; held-out pairs (count 0) on request."""
@@ -158,74 +167,101 @@ def _wide(x: memoryview) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _counted(chunks: DataFrame, n_shards: int, all_pairs: bool) -> DataFrame:
-    """kind, shard, chunk, payload: what each chunk tells each shard."""
+def _counted(chunks: DataFrame, n_shards: int, kind: int, all_pairs: bool = False) -> DataFrame:
+    """shard, chunk, payload: what each chunk tells each shard of a kind. Pairs come with their history words' hashes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                c = Chunk(blob, n_shards)
+                c = Chunk(blob, n_shards, kind == PAIR)
                 out = []
-                words = c.ids[1:]
-                counts = np.bincount(words[c.in_training], minlength=len(c.tokens))
-                cont = np.zeros(len(c.tokens), np.int64)
-                for shard, keys, n, at in c.pairs(all_pairs):
-                    cont += np.bincount(c.ids[at[n > 0]], minlength=len(c.tokens))
-                    out.append((PAIR, shard, pack([_thin(keys), n.astype(np.uint32)])))
-                order = np.argsort(c.word_shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(c.word_shard[order], prepend=-1))
-                for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    own = order[a:b]
-                    out.append((WORD, int(c.word_shard[own[0]]), pack([b" ".join(c.tokens[k] for k in own.tolist()), counts[own].astype(np.uint32), cont[own].astype(np.uint32), c.hash[own]])))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["kind", "shard", "chunk", "payload"])
-
-    return chunks.mapInArrow(rows, "kind int, shard int, chunk long, payload binary")
+                if kind == PAIR:
+                    for shard, keys, n, at in c.pairs(all_pairs):
+                        history, which = np.unique(c.ids[at], return_inverse=True)
+                        out.append((shard, pack([_thin(keys), n.astype(np.uint32), which.astype(np.uint32), c.hash[history]])))
+                else:
+                    counts = np.bincount(c.ids[1:][c.in_training], minlength=len(c.tokens))
+                    order = np.argsort(c.word_shard, kind="stable")
+                    cuts = np.flatnonzero(np.diff(c.word_shard[order], prepend=-1))
+                    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                        own = order[a:b]
+                        out.append((int(c.word_shard[own[0]]), pack([b" ".join(c.tokens[k] for k in own.tolist()), counts[own].astype(np.uint32), c.hash[own]])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["shard", "chunk", "payload"])
+
+    return chunks.mapInArrow(rows, "shard int, chunk long, payload binary")
 
 
 _REPLY = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
 _REPLY_SQL = "kind int, shard int, chunk long, payload binary, distinct long, total long"
 
 
-def _answered(counted: DataFrame, answer_pairs: bool) -> DataFrame:
-    """A shard sums what the chunks told it, builds its filter and answers each chunk.
+def _told(got: pa.Table) -> list[tuple[int, list[memoryview]]]:
+    return [(c, unpack(p)) for c, p in sorted(zip(got.column("chunk").to_pylist(), got.column("payload").to_pylist(), strict=True))]
+
+
+def _reply(kind: int, number: int, made: Filter, count: np.ndarray, out: list[tuple[int, bytes]]) -> pa.Table:
+    n = len(out)
+    stats = int((count > 0).sum()), int(count.sum())
+    return pa.Table.from_arrays([pa.array([kind] * (n + 1), pa.int32()), pa.array([number] * (n + 1), pa.int32()), pa.array([*(c for c, _ in out), None], pa.int64()), pa.array([*(p for _, p in out), made.bits.tobytes()], pa.binary()), pa.array([None] * n + [stats[0]], pa.int64()), pa.array([None] * n + [stats[1]], pa.int64())], schema=_REPLY)
 
-    Rows with a chunk answer it: exact counts and stored levels of its words, or levels of its pairs.
-    Rows without a chunk hold the shard's filter, and how many distinct words and tokens it counted.
+
+def _pairs_answered(counted: DataFrame, n_shards: int, answer: bool) -> DataFrame:
+    """A pair shard sums what the chunks told it and builds its filter; on request it answers each chunk with its pairs' levels.
+
+    Rows of kind CONT tell a word shard how many distinct training pairs of this shard begin with each of its words.
     """
 
     def shard(key: tuple, got: pa.Table) -> pa.Table:
-        kind, number = key[0].as_py(), key[1].as_py()
-        told = [(c, unpack(p)) for c, p in sorted(zip(got.column("chunk").to_pylist(), got.column("payload").to_pylist(), strict=True))]
+        number, told = key[0].as_py(), _told(got)
+        every = [_wide(x[0]) for _, x in told]
+        keys, first, where = np.unique(np.concatenate(every), return_index=True, return_inverse=True)
+        count = np.bincount(where, np.concatenate([np.frombuffer(x[1], np.uint32) for _, x in told]), minlength=len(keys))
+        history = np.concatenate([np.frombuffer(x[3], np.uint64)[np.frombuffer(x[2], np.uint32)] for _, x in told])[first]
+        made = Filter.build(keys[count > 0], level_of(count[count > 0]))
         out = []
-        if kind == WORD:
-            known: dict[bytes, int] = defaultdict()
-            known.default_factory = known.__len__
-            where = [np.fromiter(map(known.__getitem__, bytes(x[0]).split(b" ")), np.int64) for _, x in told]
-            count, cont, keys = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), np.uint64)
-            for at, (_, x) in zip(where, told, strict=True):
-                count[at] += np.frombuffer(x[1], np.uint32)
-                cont[at] += np.frombuffer(x[2], np.uint32)
-                keys[at] = np.frombuffer(x[3], np.uint64)
-            both = np.concatenate([keys, keys ^ _CONT])
-            made = Filter.build(both, level_of(np.concatenate([count, cont])))
-            zero = np.zeros(len(keys), np.int64)
-            levels, conts = made.levels(keys, zero).astype(np.uint8), made.levels(keys ^ _CONT, zero).astype(np.uint8)
-            out = [(c, pack([count[at], levels[at], conts[at]])) for at, (c, _) in zip(where, told, strict=True)]
-            stats = int((count > 0).sum()), int(count.sum())
-        else:
-            every = [_wide(x[0]) for _, x in told]
-            keys, where = np.unique(np.concatenate(every), return_inverse=True)
-            count = np.bincount(where, np.concatenate([np.frombuffer(x[1], np.uint32) for _, x in told]), minlength=len(keys))
-            made = Filter.build(keys[count > 0], level_of(count[count > 0]))
-            if answer_pairs:
-                levels = made.levels(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)[where]
-                cuts = np.cumsum([0, *map(len, every)])
-                out = [(c, pack([levels[a:b]])) for (c, _), a, b in zip(told, cuts, cuts[1:], strict=False)]
-            stats = int((count > 0).sum()), int(count.sum())
-        n = len(out)
-        return pa.Table.from_arrays([pa.array([kind] * (n + 1), pa.int32()), pa.array([number] * (n + 1), pa.int32()), pa.array([*(c for c, _ in out), None], pa.int64()), pa.array([*(p for _, p in out), made.bits.tobytes()], pa.binary()), pa.array([None] * n + [stats[0]], pa.int64()), pa.array([None] * n + [stats[1]], pa.int64())], schema=_REPLY)
-
-    return counted.groupBy("kind", "shard").applyInArrow(shard, _REPLY_SQL)
+        if answer:
+            levels = made.levels(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)[where]
+            cuts = np.cumsum([0, *map(len, every)])
+            out = [(c, pack([levels[a:b]])) for (c, _), a, b in zip(told, cuts, cuts[1:], strict=False)]
+        words, types = np.unique(history[count > 0], return_counts=True)
+        to = (words % np.uint64(n_shards)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+        own = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+        n = len(own)
+        conts = pa.Table.from_arrays([pa.array([CONT] * n, pa.int32()), pa.array([int(to[x[0]]) for x in own], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([pack([words[x], types[x].astype(np.uint32)]) for x in own], pa.binary()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64())], schema=_REPLY)
+        return pa.concat_tables([_reply(PAIR, number, made, count, out), conts])
+
+    return counted.groupBy("shard").applyInArrow(shard, _REPLY_SQL)
+
+
+def _words_answered(counted: DataFrame, conts: DataFrame) -> DataFrame:
+    """A word shard sums what the chunks and the pair shards told it, builds its filter and answers each chunk.
+
+    Rows with a chunk answer it: exact counts and stored levels of its words. The row without a chunk
+    holds the shard's filter, and how many distinct words and tokens it counted.
+    """
+
+    def shard(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        number, told = key[0].as_py(), _told(left)
+        known: dict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
+        where = [np.fromiter(map(known.__getitem__, bytes(x[0]).split(b" ")), np.int64) for _, x in told]
+        count, cont, keys = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), np.uint64)
+        for at, (_, x) in zip(where, told, strict=True):
+            count[at] += np.frombuffer(x[1], np.uint32)
+            keys[at] = np.frombuffer(x[2], np.uint64)
+        order = np.argsort(keys)
+        for payload in right.column("payload").to_pylist():
+            words, types = unpack(payload)
+            # Each word's hash comes once from a pair shard, and from one of its own chunks.
+            cont[order[np.searchsorted(keys, np.frombuffer(words, np.uint64), sorter=order)]] += np.frombuffer(types, np.uint32)
+        made = Filter.build(np.concatenate([keys, keys ^ _CONT]), level_of(np.concatenate([count, cont])))
+        zero = np.zeros(len(keys), np.int64)
+        levels, types = made.levels(keys, zero).astype(np.uint8), made.levels(keys ^ _CONT, zero).astype(np.uint8)
+        return _reply(WORD, number, made, count, [(c, pack([count[at], levels[at], types[at]])) for at, (c, _) in zip(where, told, strict=True)])
+
+    return counted.groupBy("shard").cogroup(conts.groupBy("shard")).applyInArrow(shard, _REPLY_SQL)
 
 
 def _gather(pieces: DataFrame, n_shards: int) -> Filter:
@@ -245,15 +281,19 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     spark = docs.sparkSession
     chunks = chunked(docs)
     n_shards = max(1, -(-total_bytes(chunks) // SHARD_BYTES))
-    answers = write_table(_answered(_counted(chunks, n_shards, False), False), "answers")
-    sums = answers.where("chunk is null").groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum(F.length("payload")).alias("bytes")).collect()
+    pairs = write_table(_pairs_answered(_counted(chunks, n_shards, PAIR), n_shards, False), "pairs")
+    conts = pairs.where(F.col("kind") == CONT).select("shard", "payload")
+    answers = write_table(_words_answered(_counted(chunks, n_shards, WORD), conts), "words")
+    filters = answers.unionByName(pairs.where(F.col("kind") == PAIR)).where("chunk is null")
+    sums = filters.groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum(F.length("payload")).alias("bytes")).collect()
     by = {r["kind"]: r for r in sums}
     v, n = (by[WORD]["v"], by[WORD]["n"]) if WORD in by else (0, 0)
     shared = None
     if PAIR not in by or by[PAIR]["bytes"] <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast(_gather(answers.where((F.col("kind") == PAIR) & F.col("chunk").isNull()).select("shard", "payload"), n_shards))
+        shared = spark.sparkContext.broadcast(_gather(pairs.where(F.col("kind") == PAIR).select("shard", "payload"), n_shards))
     else:
-        answers = write_table(_answered(_counted(chunks, n_shards, True), True), "answers")
+        asked = write_table(_pairs_answered(_counted(chunks, n_shards, PAIR, True), n_shards, True), "answers")
+        answers = answers.unionByName(asked.where(F.col("kind") == PAIR))
     answers = answers.where("chunk is not null").select("chunk", "kind", "shard", "payload")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -284,7 +324,10 @@ def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n:
             pair_levels[at] = np.frombuffer(parts[0], np.uint8)[np.searchsorted(places[shard], c.pair_key[at])]
     if pair_levels is None:
         # Frequent pairs are probed level after level: once a chunk, not once a place.
-        keys, where = np.unique(c.pair_shard << np.uint64(40) | c.pair_key, return_inverse=True)
+        both = c.pair_shard << np.uint64(40) | c.pair_key
+        del c.pair_shard, c.pair_key
+        keys, where = np.unique(both, return_inverse=True)
+        del both
         pair_levels = pair_filter.levels(keys & np.uint64((1 << 40) - 1), (keys >> np.uint64(40)).astype(np.int64))[where]
     whole = n + 0.5 * (v + 1)
     prev, cur = c.ids[:-1], c.ids[1:]
