@@ -97,6 +97,9 @@ WIDE = {
     2: (re.compile(r"(?<![0-9.])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9.])"),),
     3: (re.compile(r"(?<![\w+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?!\w|\.\w)"), re.compile(r"(?<![\w+.])00[1-9][0-9]{0,2}[ .()-]?[0-9][0-9 ().-]{6,14}[0-9](?!\w)")),
 }
+#: What each wide pattern's match holds in any case, told at a glance: a text without it is not searched.
+_AT = re.compile(r"[\[({<]\s?(?:[aA][tT]|@)\s?[\])}>]")
+_DOT = re.compile(r"[\[(]\.[\])]")
 LABELERS = ("form", "check", "gazetteer", "context", "neighbours", "length")
 
 
@@ -137,13 +140,15 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, bool, tuple[int, ...]
     for kind, a, b in base:
         yield kind, a, b, True, _votes(kind, text, a, b, True)
     folded = text.lower()
-    has = (" at " in folded or "at]" in folded or "at)" in folded or "[@" in text, "[.]" in text or "(.)" in text, True, True)
+    has = ((_AT.search(text), " at " in folded), (_DOT.search(text),), (True,), (True, True))
     digits = any(c in text for c in "0123456789")
     for kind, patterns in WIDE.items():
-        if not has[kind] or kind and not digits:
+        if kind and not digits:
             continue
         mine = taken[kind]
-        for pattern in patterns:
+        for pattern, may in zip(patterns, has[kind], strict=True):
+            if not may:
+                continue
             for m in pattern.finditer(text):
                 a, b = m.span()
                 if all(b <= x or y <= a for x, y in mine):

@@ -327,6 +327,20 @@ def test_pii_base_spans():
     assert pii.base_spans(long) == []
 
 
+@pytest.mark.parametrize("opening", "[({<")
+@pytest.mark.parametrize("closing", "])}>")
+@pytest.mark.parametrize("at", ["at", "AT", "@", " at ", " @ ", "at ", " @"])
+def test_pii_every_bracketed_at_is_a_candidate(opening, closing, at):
+    text = f"x jane{opening}{at}{closing}firm.de y"
+    assert [c[:4] for c in pii.candidates(text)] == [(0, 2, len(text) - 2, False)]
+
+
+@pytest.mark.parametrize("dot", ["[.]", "(.)", "[.)", "(.]"])
+def test_pii_every_bracketed_dot_is_a_candidate(dot):
+    text = f"x 10{dot}20{dot}30{dot}40 y"
+    assert [c[:4] for c in pii.candidates(text)] == [(1, 2, len(text) - 2, False)]
+
+
 def test_pii_adds_and_redacts(spark):
     rows = [(k, f"mail me: ann{k}@example.org or +1 (555) 010-000{k % 10} from 10.0.0.{k}", "x") for k in range(40)] + [(50, "write to bob [at] mail [dot] com", "x"), (51, None, "x"), (52, "nothing here", "x")]
     docs = frame(spark, rows)
