@@ -12,6 +12,7 @@ last verified on the whole texts. Most prefixes hold only shingles that no other
 Links only matter between components, so near copies are first joined in stars around typical documents
 (by minimum hashes, each link verified), then in chains along the posting lists. A shingle whose documents
 are all in one component is settled; pairs are only made of what is left, never within a component.
+`join` therefore has components but not all links; `links` gives every link between class representatives.
 
 Null or wordless text has no shingles and no links. Rows with a null doc_id get n_shingles and no
 component; rows of one doc_id are one document. An empty table gives an empty result. Extra
@@ -586,6 +587,25 @@ def join(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left").join(found.withColumnsRenamed({"node": "doc_id", "component": "component_id"}), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """a, b (a < b): every verified pair of class representatives (smallest doc_ids of equal sets), those within components too.
+
+    As many rows as there are similar pairs: a group of n near copies may have n (n - 1) / 2.
+    """
+    real = _signatures(docs).where("doc_id is not null and n > 0")
+    heads = _members(real).select(F.col("class_id").alias("doc_id")).distinct()
+    reps = write_table(real.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
+    # Each document is its own component, so no list is settled and no pair left out.
+    alone = reps.select("doc_id", "n", "prefix", "place", F.col("doc_id").alias("component"))
+    packs = write_table(_packs(alone), "packs")
+    sums = packs.agg(F.sum("entries").alias("entries")).first()["entries"] or 0
+    n_shards = max(1, -(-sums // SHARD_SHINGLES))
+    answers = write_table(_lists(packs, n_shards).groupBy("shard").applyInArrow(_spanning, _TOLD), "spanning")
+    postings = _postings(packs, answers, n_shards, max(1, reps.count())).withColumn("component", F.col("doc_id"))
+    postings = write_table(postings.select("shard", "token", "doc_id", "component", "n", "place", "l", "most", "tokens", "places"), "postings")
+    return _verified(_candidates(postings), docs)
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id (one row, where rows repeat)."""
     kept = join(docs).where("component_id = doc_id").select("doc_id").distinct()

@@ -218,6 +218,27 @@ def test_long_lists_and_short_lists_agree(spark):
     assert {g.doc_id: g.component_id for g in ngram_join.join(frame(spark, rows)).collect()} == want
 
 
+@pytest.mark.parametrize("near", [60, 150])
+def test_links_within_components(spark, near):
+    """All pairs of class representatives, in short lists and in long ones, against brute force."""
+    r = random.Random(near)
+    rows = [x for x in corpus(near, 100) if x[0] is not None] if near == 60 else []
+    for k in range(1000, 1000 + near):
+        t = [f"b{j}" for j in range(60)]
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            t[r.randrange(60)] = f"e{r.randrange(10_000)}"
+        rows.append((k, " ".join(t), "x"))
+    first = {}
+    for d, s in sorted(shingle_sets(rows).items()):
+        if s:
+            first.setdefault(frozenset(s), d)
+    sets = sorted((d, s) for s, d in first.items())
+    want = {(a, b) for k, (b, y) in enumerate(sets) for a, x in sets[:k] if 100 * len(x & y) >= 80 * len(x | y)}
+    got = [tuple(g) for g in ngram_join.links(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > len(sets) - len(set(brute_components(dict(sets)).values()))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
