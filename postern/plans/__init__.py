@@ -154,7 +154,7 @@ def path_terms(spark, sf):
 
 
 def lexicon_hits(spark, sf):
-    body = F.concat_ws(" ", pick(syn.PHRASES, F.col("doc_id")), F.col("lang"), pick(syn.PHRASES, F.col("doc_id") / 3), F.left("text", F.lit(40)))
+    body = F.concat_ws(" ", pick(syn.PHRASES, F.col("doc_id")), F.col("lang"), pick(syn.PHRASES, F.col("doc_id") / 3), F.col("text"))
     return table(spark, sf, "documents").select("doc_id", *(F.array_join(F.array_sort(text.lexicon_hits(n, body)), ",").alias(n) for n in ("urgency", "credentials", "financial", "threat", "secrecy", "salutation")))
 
 
@@ -183,8 +183,9 @@ def hashes(spark, sf):
 
 def invisible_chars(spark, sf):
     """Words broken by invisible characters: counts, and the text that rules read."""
-    t = F.concat(F.lit("ur\u200bg\u00adent "), F.when(F.col("doc_id") % 2 == 0, "\u202eabc\u200b").otherwise("plain"), F.left("text", F.lit(20)))
-    found = text.find_invisible(t)
+    head = F.concat(F.lit("ur\u200bg\u00adent "), F.when(F.col("doc_id") % 2 == 0, "\u202eabc\u200b").otherwise("plain"))
+    found = text.find_invisible(F.concat(head, F.col("text")))
+    t = F.concat(head, F.left("text", F.lit(20)))  # as the SQL has it: `kept` is of the first characters only
     return table(spark, sf, "documents").select("doc_id", F.aggregate(found, F.lit(0), lambda s, x: s + x["count"]).cast("long").alias("total"), found[0]["codepoint"].alias("most"), F.length(text.strip_invisible(t)).cast("long").alias("kept"))
 
 

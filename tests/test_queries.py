@@ -31,5 +31,14 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_whole_texts_are_read(spark, tmp_path):
+    late = "x" * 60 + " urgent mfa \u200b\u200b\u200b\u2060"
+    spark.createDataFrame([(7, late, "en"), (9, "short", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = {r.doc_id: r for r in plans.queries()["lexicon_hits"](spark, str(tmp_path)).collect()}
+    assert "urgent" in hits[7].urgency.split(",") and "mfa" in hits[7].credentials.split(",") and "urgent" not in hits[9].urgency
+    found = {r.doc_id: (r.total, r.most) for r in plans.queries()["invisible_chars"](spark, str(tmp_path)).collect()}
+    assert found == {7: (6, "U+200B"), 9: (2, "U+200B")}
+
+
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
