@@ -1,11 +1,14 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams (DataFrame functions only).
 
 Each document's 13-word windows are hashed in place and looked up in the set of benchmark window
-hashes; hits are verified word by word against the benchmark's windows, then spans or whole
-documents are removed. No row leaves its task before it has a hit, and only hits are shuffled.
-
-Nulls and empty texts have no words and are clean. Repeated rows get the same verdict each. An empty
-benchmark leaves every document clean. Extra columns pass through `decontaminate` untouched.
+hashes; hits carry their words, are verified against the benchmark's windows, and spans or whole
+documents are removed. No row leaves its task before it has a hit, and only hits are shuffled, without
+their texts. The set is broadcast in slices of SLICE_WINDOWS hashes at every size, each slice a pass.
+
+Nulls and empty texts have no words and are clean; a very long text is one row of more windows. Rows with
+a null doc_id are judged as any other. Repeated rows get the same verdict each. An empty benchmark leaves
+every document clean, an empty table gives an empty result. Extra columns, whatever their names, pass
+through `decontaminate` untouched.
 """
 
 from __future__ import annotations
@@ -14,56 +17,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-#: A word of lower-cased text: ASCII letters and digits and everything beyond ASCII. Full lower-casing keeps
-#: the words' places, as no letter beyond ASCII becomes anything but a letter.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, in any text and in one whose A-Z are lowered.
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The window set is broadcast up to this many windows (about 200 bytes each with its text); beyond, it is joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Hashes in a broadcast slice of the set (about 60 bytes each in Spark's table of longs).
+SLICE_WINDOWS = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, gap: str = GAP) -> Column:
     """Splitting at the gaps costs a tenth of matching the words; the empty ends go."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    """A-Z lowered and nothing else; plain ASCII, where full lower-casing is the same and faster, goes that way."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (words), gram (text), loose (hash): the distinct windows of each item; a shorter item is one window."""
+    """item_id, n (words), gram (text), gram_hash: the distinct windows of each item; a shorter item is one window."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(lower_ascii(F.col("text"))).alias("w")).where(F.size("w") > 0)
     at = w.select("item_id", "w", F.least(F.lit(window), F.size("w")).alias("n"), F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (window - 1)))).alias("at"))
-    gram = F.concat_ws(" ", F.slice("w", F.col("at"), F.col("n")))
-    return at.select("item_id", "n", gram.alias("gram"), F.xxhash64(F.split(F.lower(gram), " ")).alias("loose")).distinct()
+    words_here = F.slice("w", F.col("at"), F.col("n"))
+    return at.select("item_id", "n", F.concat_ws(" ", words_here).alias("gram"), F.xxhash64(words_here).alias("gram_hash")).distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, item_id, at, n: verified occurrences of benchmark windows; key is (doc_id, hash of the text)."""
-    grams = benchmark_windows(benchmark, window).persist()
-    count, lengths = grams.agg(F.count("*"), F.collect_set("n")).first()
-    keyed = docs.select(*_key(), F.col("text"), words(F.lower("text")).alias("w"))
-    small = count <= BROADCAST_WINDOWS
-    side = F.broadcast if small else (lambda df: df)
-    found = None
-    for n in sorted(lengths):  # at most `window` different lengths
-        here = grams.where(F.col("n") == n)
-        at = F.explode(F.sequence(F.lit(1), F.size("w") - (n - 1))).alias("at")
-        every = keyed.where(F.size("w") >= n).select("doc_id", "text_hash", *["text"] * small, "w", at)
-        every = every.select("doc_id", "text_hash", *["text"] * small, "at", F.xxhash64(F.slice("w", F.col("at"), n)).alias("loose"))
-        near = every.join(side(here.select("loose").distinct()), "loose", "left_semi")
-        near = near.groupBy("doc_id", "text_hash").agg(*[F.first("text").alias("text")] * small, F.collect_set("at").alias("at"))
-        if not small:
-            near = near.withColumnsRenamed({"doc_id": "k", "text_hash": "h"}).join(docs.select(*_key(), "text"), F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-        exact = near.select("doc_id", "text_hash", words(lower_ascii(F.col("text"))).alias("w"), F.explode("at").alias("at"))
-        exact = exact.select("doc_id", "text_hash", "at", F.concat_ws(" ", F.slice("w", F.col("at"), n)).alias("gram"))
-        part = exact.join(side(here.select("gram", "item_id", "n")), "gram").select("doc_id", "text_hash", "item_id", "at", "n")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id string, at int, n int")
-    return found
+    """doc_id, text_hash, item_id, at, n: verified occurrences of benchmark windows."""
+    grams = benchmark_windows(benchmark, window)
+    count, lengths = grams.agg(F.count_distinct("gram_hash"), F.collect_set("n")).first()
+    if not count:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id string, at int, n int")
+    # At most `window` different lengths.
+    spots = docs.select(*_key(), words(lower_ascii(F.col("text"))).alias("w")).where(F.size("w") >= min(lengths))
+    spots = spots.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
+    spots = spots.select("*", F.explode(F.array(*map(F.lit, sorted(lengths)))).alias("n")) if len(lengths) > 1 else spots.withColumn("n", F.lit(lengths[0]))
+    spots = spots.where(F.col("at") + F.col("n") <= F.size("w") + 1)
+    hashed = spots.select("*", F.xxhash64(F.slice("w", F.col("at"), F.col("n"))).alias("gram_hash"))
+    near = None
+    slices = -(-count // SLICE_WINDOWS)
+    for k in range(slices):
+        known = grams.select("gram_hash").where(F.pmod("gram_hash", F.lit(slices)) == k).distinct()
+        part = hashed.join(F.broadcast(known), "gram_hash", "left_semi")
+        near = part if near is None else near.unionByName(part)
+    near = near.select("doc_id", "text_hash", "at", "n", F.concat_ws(" ", F.slice("w", F.col("at"), F.col("n"))).alias("gram"))
+    return near.join(grams.drop("gram_hash"), ["gram", "n"]).select("doc_id", "text_hash", "item_id", "at", "n")
 
 
 def _key() -> list[Column]:
@@ -81,7 +80,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """A row a document: doc_id, text_hash, n_words, n_hit, items (sorted strings), ranges (hit word ranges), contaminated."""
     found = hits(docs, benchmark, window).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("at", (F.col("at") + F.col("n") - 1).alias("end")))).alias("ranges"), F.array_sort(F.collect_set("item_id")).alias("items"))
     found = found.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "ranges", "items")
-    all_docs = docs.select(*_key(), F.size(words(F.lower("text"))).cast("long").alias("n_words"))
+    all_docs = docs.select(*_key(), F.size(words(F.col("text"), ANY_GAP)).cast("long").alias("n_words"))
     joined = all_docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_hit = F.coalesce(_covered(F.col("ranges")), F.lit(0).cast("long"))
     out = joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "ranges")
@@ -91,15 +90,19 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, remove: str = "documents") -> DataFrame:
     """`docs` without contaminated documents, or (remove="spans") with the hit words of every document cut out of its text."""
     found = report(docs, benchmark, window)
+    # The document's columns travel as one struct, so that no name of theirs meets one of ours.
+    rows = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("row.text") == F.col("hit_hash"))
     if remove == "documents":
-        bad = found.where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-        return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
-    spans = found.where("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash"), "ranges").dropDuplicates(["bad_id", "bad_hash"])
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left")
-    pieces = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-    is_word = lambda p: F.lower(p).rlike(WORD)
+        bad = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
+        return rows.join(bad, same, "left_anti").select("row.*")
+    spans = found.where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "ranges").dropDuplicates(["hit_id", "hit_hash"])
+    joined = rows.join(spans, same, "left")
+    pieces = F.regexp_extract_all("row.text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|" + ANY_GAP), 0)
+    is_word = lambda p: p.rlike(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
     marked = F.aggregate(pieces, F.struct(F.lit(0).alias("n"), F.lit("").alias("out")), lambda s, p: F.struct((s["n"] + is_word(p).cast("int")).alias("n"), F.when(is_word(p) & F.exists("ranges", lambda r: (r["at"] <= s["n"] + 1) & (s["n"] + 1 <= r["end"])), s["out"]).otherwise(F.concat(s["out"], p)).alias("out")), lambda s: s["out"])
-    return joined.withColumn("text", F.when(F.col("ranges").isNotNull(), marked).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("ranges").isNotNull(), marked).otherwise(F.col("row.text"))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def op7(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

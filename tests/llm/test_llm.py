@@ -315,19 +315,27 @@ def brute_hits(text, items):
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("bound", [200_000, 0])
-def test_decontamination(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", bound)
+@pytest.mark.parametrize("slice_windows", [decontamination.SLICE_WINDOWS, 20])
+def test_decontamination(spark, monkeypatch, slice_windows):
+    monkeypatch.setattr(decontamination, "SLICE_WINDOWS", slice_windows)
     words = [f"Q{k}" for k in range(60)]
-    items = [(1, " ".join(words[:20])), (12, " ".join(words[30:50]).upper()), (3, "short ITEM É here"), (4, None), (5, "...")]
+    greek = "Α.Β ΟΔΟΣ.ΒΑΣ ΟΔΟΣ' İK one two three four five six seven eight nine ten"
+    items = [(1, " ".join(words[:20])), (12, " ".join(words[30:50]).upper()), (3, "short ITEM É here"), (4, None), (5, "..."), (6, greek)]
     rows = [(0, " ".join(words), "x"), (1, "filler " * 400 + " ".join(words[2:16]), "x"), (2, "a SHORT item É HERE, yes", "x"), (3, "clean text", "x"), (4, None, "x"), (5, "", "x"), (6, " ".join(words[:12]), "x"), (6, " ".join(words[:12]), "x")]
+    rows += [(7, greek, "x"), (8, "pre " + greek.replace(".", ", ").replace("one", "ONE"), "x"), (9, greek.lower(), "x"), (None, " ".join(words[:20]), "x"), (10, "long " * 50_000 + greek, "x")]
     docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in decontamination.op7(docs, bench).collect())
-    assert got == sorted((d, *brute_hits(x, items)) for d, x, _ in rows)
-    kept = decontamination.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x, _ in rows if not brute_hits(x, items)[-1])
-    spans = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, remove="spans").collect()}
-    assert "Q5" not in spans[1] and "filler" in spans[1] and spans[3] == "clean text"
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted((tuple(r) for r in decontamination.op7(docs, bench).collect()), key=by_id)
+    want = sorted(((d, *brute_hits(x, items)) for d, x, _ in rows), key=by_id)
+    assert got == want and next(w for w in want if w[0] == 7)[2] >= 13
+    odd = docs.withColumnsRenamed({"extra": "bad_id"}).selectExpr("*", "1 AS hit_id", "2 AS bad_hash", "3 AS hit_hash", "4 AS ranges", "5 AS row", "6 AS n", "7 AS `at`", "8 AS gram_hash")
+    kept = decontamination.decontaminate(odd, bench)
+    clean = sorted(((d,) for d, x, _ in rows if not brute_hits(x, items)[-1]), key=by_id)
+    assert kept.columns == odd.columns and sorted(((r.doc_id,) for r in kept.collect()), key=by_id) == clean
+    cut = decontamination.decontaminate(odd, bench, remove="spans")
+    assert cut.columns == odd.columns and cut.count() == len(rows)
+    spans = {r.doc_id: r.text for r in cut.collect()}
+    assert "Q5" not in spans[1] and "filler" in spans[1] and spans[3] == "clean text" and "ΟΔΟΣ" not in spans[7]
     assert decontamination.op7(docs, bench.limit(0)).where("contaminated").count() == 0 and decontamination.op7(docs.limit(0), bench).count() == 0
 
 
