@@ -51,6 +51,8 @@ HUBS = 3
 LONG = 64
 #: Documents in a pack of prefixes, and prefix shingles for each hash shard.
 PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
+#: Documents of one root, and bytes of how they differ from it, that are compared with each other or another block at once.
+BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Verifying a candidate costs as much as reading this many postings.
@@ -170,8 +172,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return write_table(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sign, "doc_id long, n long, set_hash binary, bands array<long>, prefix binary, place binary"), "signatures")
 
 
-def _stars(reps: DataFrame) -> DataFrame:
-    """a, b: each document and the hubs of its buckets, HUBS at most.
+def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: each document and the hubs of its buckets, HUBS at most; and doc_id, root: the hub over all tasks of a document's first hub.
 
     A bucket's hub is its most typical document: the one whose buckets are the fullest. Among copies that were
     changed here and there, that is one with few changes, which most others are similar to. A task links its
@@ -193,7 +195,7 @@ def _stars(reps: DataFrame) -> DataFrame:
         out = []
         for doc, bands in seen:
             votes = Counter(hub[k][1] for k in bands if hub[k][1] != doc)
-            out += [(None, doc, to, None, None) for to in sorted(votes, key=lambda d: (-votes[d], d))[:HUBS]]
+            out += [(None, doc, to, None, k) for k, to in enumerate(sorted(votes, key=lambda d: (-votes[d], d))[:HUBS])]
         out += [(k, doc, None, -t, fill[k]) for k, (t, doc) in hub.items()]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["bucket", "a", "b", "typical", "fill"])
@@ -206,8 +208,14 @@ def _stars(reps: DataFrame) -> DataFrame:
     best = known.groupBy("a").agg(F.sum("weight").alias("typical"))
     hubs = known.join(best, "a").groupBy("bucket").agg(F.max(F.struct("typical", (-F.col("a")).alias("least"))).alias("top"), F.collect_set("a").alias("all"))
     votes = hubs.select(F.explode("all").alias("a"), (-F.col("top.least")).alias("b")).where("a <> b").groupBy("a", "b").count()
-    across = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("b")).alias("least"))), asc=False), 1, HUBS).alias("top")).select("a", F.explode("top").alias("t")).select("a", (-F.col("t.least")).alias("b"))
-    return found.where("bucket is null").select("a", "b").unionByName(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    across = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("b")).alias("least"))), asc=False), 1, HUBS).alias("top")).select("a", F.posexplode("top").alias("k", "t")).select("a", (-F.col("t.least")).alias("b"), (F.col("k") == 0).alias("first"))
+    across = write_table(across, "across")
+    stars = found.where("bucket is null").select("a", "b").unionByName(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # A hub's first hub over all tasks is its root; a document's root is that of its first hub in its own task.
+    tops = across.where("first").select(F.col("a").alias("hub"), F.col("b").alias("top"))
+    mine = found.where("bucket is null and fill = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
+    own = reps.select("doc_id").join(mine, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
+    return stars, own.join(tops, "hub", "left").select("doc_id", F.coalesce("top", "hub").alias("root"))
 
 
 def _members(real: DataFrame) -> DataFrame:
@@ -231,9 +239,8 @@ def _members(real: DataFrame) -> DataFrame:
     return write_table(found.where("doc_id is not null").select("doc_id", "head").join(heads.join(classes, "set_hash").select("head", "class_id"), "head").select("doc_id", "class_id").distinct(), "members")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, compared shingle by shingle."""
-    pairs = write_table(pairs, "pairs")
+def _sides(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b and their compressed texts x, y, for a table of pairs."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     small = F.broadcast if pairs.count() <= BROADCAST_IDS // 2 else (lambda df: df)
 
@@ -243,7 +250,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress(t) for t in texts_of(batch.column("text"))], pa.binary())], ["doc_id", "packed"])
 
     texts = write_table(docs.select("doc_id", "text").join(small(ids), "doc_id").mapInArrow(shrink, "doc_id long, packed binary").dropDuplicates(["doc_id"]), "texts")
-    sides = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b")
+    return pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are similar, compared shingle by shingle."""
 
     def exact(packed: bytes, last: list) -> set:
         if last[0] != packed:
@@ -261,7 +272,110 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(both > 0 and OF * both >= TIMES * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return sides.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return _sides(write_table(pairs, "pairs"), docs).mapInArrow(check, "a long, b long")
+
+
+_DELTA = pa.schema([("root", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("gone", pa.int64()), ("whole", pa.int64()), ("delta", pa.binary())])
+
+
+def _deltas(open_ids: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """root, doc_id, n, gone, whole, delta: how each open document differs from its root, where they have half their shingles in common.
+
+    delta: hashes of the shingles that one of both holds; gone: how many of them are the root's; whole: the root's set.
+    """
+    near = write_table(open_ids.join(roots, "doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "roots")
+    heads = near.select("b").distinct().select(F.col("b").alias("a"), "b")
+    pairs = near.where("a <> b").unionByName(heads)
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = [None, None]
+
+        def of(packed: bytes) -> np.ndarray:
+            return shingles(zstandard.ZstdDecompressor().decompress(packed))
+
+        for batch in batches:
+            out = []
+            for a, b, p, q in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
+                if last[0] != q:
+                    last[:] = q, of(q)
+                x, h = of(p), last[1]
+                delta = np.setxor1d(x, h, assume_unique=True)
+                gone = (len(delta) + len(h) - len(x)) // 2
+                if 2 * (len(h) - gone) >= len(x) + gone:
+                    out.append((b, a, len(x), gone, len(h), delta.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_DELTA)], schema=_DELTA)
+
+    return write_table(_sides(write_table(pairs, "pairs"), docs).mapInArrow(differ, "root long, doc_id long, n long, gone long, whole long, delta binary"), "deltas")
+
+
+def _spanning_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, gone: np.ndarray, whole: int, deltas: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links that join all of a root's documents that links join; `side`: only pairs of unequal sides.
+
+    With x = root - R + A, |x & y| = |root| - |R of x| - |R of y| + |delta of x & delta of y|, so what pairs share is one
+    matrix product over the few shingles that several deltas hold. A link that would join what is joined is passed over.
+    """
+    m = len(ids)
+    _, comp = np.unique(comp, return_inverse=True)
+    if comp.max() == 0:
+        return []
+    owner = np.repeat(np.arange(m), [len(d) for d in deltas])
+    token, at, count = np.unique(np.concatenate(deltas), return_inverse=True, return_counts=True)
+    several = np.cumsum(count > 1) - 1
+    use = count[at] > 1
+    column, row = several[at[use]], owner[use]
+    columns = int((count > 1).sum())
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = []
+    for first in range(0, m, 256):
+        mine = np.arange(first, min(m, first + 256))
+        shared = np.zeros((len(mine), m), np.float32)
+        for low in range(0, columns, 2048):
+            a, b = np.searchsorted(column, (low, low + 2048))
+            held = np.zeros((m, min(2048, columns - low)), np.float32)
+            held[row[a:b], column[a:b] - low] = 1
+            shared += held[mine] @ held.T
+        for k, x in enumerate(mine.tolist()):
+            both = whole - gone[x] - gone + shared[k].astype(np.int64)
+            good = ((TIMES + OF) * both >= TIMES * (n[x] + n)) & (comp != comp[x])
+            if side is not None:
+                good &= side != side[x]
+            for y in np.flatnonzero(good).tolist():
+                if comp[y] != comp[x]:
+                    out.append((int(ids[x]), int(ids[y])))
+                    comp[comp == comp[y]] = comp[x]
+    return out
+
+
+def _grouped_links(deltas: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: links that join what links join among documents of one root, told by their hashes.
+
+    A root's documents are dealt to blocks of bounded number and size, and every two blocks are compared in one task.
+    """
+    rows = _labelled(deltas, labels)
+    sizes = rows.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("delta") + 40).alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES))
+    dealt = rows.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    dealt = write_table(dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("*", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).drop("other", "blocks"), "blocks")
+    packs = max(1, (dealt.count() + BLOCK_DOCS - 1) // BLOCK_DOCS)
+
+    def link(key: tuple, got: pa.Table) -> pa.Table:
+        columns = [got.column(c).to_numpy() for c in ("root", "i", "j", "doc_id", "component", "n", "gone", "whole", "side")]
+        deltas = got.column("delta").to_pylist()
+        order = np.lexsort((columns[3], *columns[2::-1]))
+        keys = np.stack([c[order] for c in columns[:3]], 1)
+        cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])).tolist()
+        out = []
+        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            at = order[a:b]
+            _, i, j, ids, comp, n, gone, whole, side = (c[at] for c in columns)
+            # The least changed first: they join the most.
+            held = [np.frombuffer(deltas[k], np.uint64) for k in at.tolist()]
+            by = np.argsort([len(d) for d in held], kind="stable")
+            out += _spanning_links(ids[by], comp[by], n[by], gone[by], int(whole[0]), [held[k] for k in by.tolist()], side[by] if i[0] != j[0] else None)
+        return pa.table({"a": pa.array([min(x) for x in out], pa.int64()), "b": pa.array([max(x) for x in out], pa.int64())})
+
+    return dealt.groupBy(F.pmod(F.xxhash64("root", "i", "j"), F.lit(packs))).applyInArrow(link, "a long, b long").distinct()
 
 
 def _packs(labelled: DataFrame) -> DataFrame:
@@ -413,7 +527,7 @@ class List:
     """A shard's postings, by token and then in the order asked for."""
 
     def __init__(self, got: pa.Table, chained: bool) -> None:
-        self.token, self.ids, self.comp, self.n, self.place, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "n", "place", "l", "most"))
+        self.token, self.ids, self.comp, self.root, self.n, self.place, self.l, self.most = (got.column(c).to_numpy() for c in ("token", "doc_id", "component", "root", "n", "place", "l", "most"))
         within = mix((self.ids + self.token).astype(np.uint64)) if chained else self.n
         self.order = np.lexsort((self.ids, within, self.token))
         t = self.token[self.order]
@@ -421,9 +535,9 @@ class List:
         self.lists = list(zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True)) if len(t) else []
 
     def possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether pairs of entries are of two components, near enough in size, with enough left to share."""
+        """Whether pairs of entries are of two components and not yet compared by their root, near enough in size, with enough left to share."""
         small, large = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
-        return (self.comp[x] != self.comp[y]) & (OF * small >= TIMES * large) & ((TIMES + OF) * np.minimum(self.most[x], self.most[y]) >= TIMES * (small + large))
+        return (self.comp[x] != self.comp[y]) & (self.root[x] != self.root[y]) & (OF * small >= TIMES * large) & ((TIMES + OF) * np.minimum(self.most[x], self.most[y]) >= TIMES * (small + large))
 
 
 def _chained(key: tuple, got: pa.Table) -> pa.Table:
@@ -512,7 +626,7 @@ def _pairs(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     for a, b in p.lists:
         own = p.order[a:b]
-        if len(set(p.comp[own].tolist())) < 2:
+        if len(set(p.comp[own].tolist())) < 2 or len(set(p.root[own].tolist())) < 2:
             continue
         if tokens[own[0]] is not None:
             for pair in _long_pairs(p, own, tokens, places):
@@ -542,14 +656,18 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+_POSTED = ("shard", "token", "doc_id", "component", "root", "n", "place", "l", "most", "tokens", "places")
+
+
 def _spanning_only(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """The postings with their components' labels of now, without the lists that one component has come to hold.
+    """The postings with their components' labels of now, without the lists that one component or root has come to hold.
 
     The smallest and the largest label of a list are partial aggregates, so settled lists are never gathered.
     """
     now = write_table(_labelled(postings.drop("component"), labels), "postings")
-    open_lists = now.groupBy("shard", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shard", "token")
-    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select("shard", "token", "doc_id", "component", "n", "place", "l", "most", "tokens", "places"), "postings")
+    held = [f(c).alias(f"{name}_{c}") for c in ("component", "root") for f, name in ((F.min, "low"), (F.max, "high"))]
+    open_lists = now.groupBy("shard", "token").agg(*held).where("low_component < high_component and low_root < high_root").select("shard", "token")
+    return write_table(now.join(open_lists, ["shard", "token"], "left_semi").select(*_POSTED), "postings")
 
 
 def _chain_links(postings: DataFrame, docs: DataFrame) -> DataFrame:
@@ -567,14 +685,21 @@ def join(docs: DataFrame) -> DataFrame:
     member = _members(real)
     reps = real.join(member.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
     same = member.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
-    near = write_table(_verified(_stars(reps), docs), "stars")
+    stars, roots = _stars(reps)
+    near = write_table(_verified(stars, docs), "stars")
     labels = connected(near)
     packs = _packs(_labelled(reps.select("doc_id", "n", "prefix", "place"), labels))
     sums = packs.agg(F.sum("entries").alias("entries")).first()["entries"] or 0
     documents = max(1, reps.count())
     n_shards = max(1, -(-sums // SHARD_SHINGLES))
     answers = write_table(_lists(packs, n_shards).groupBy("shard").applyInArrow(_spanning, _TOLD), "spanning")
-    postings = _spanning_only(_postings(packs, answers, n_shards, documents), labels)
+    postings = _spanning_only(_postings(packs, answers, n_shards, documents).withColumn("root", F.col("doc_id")), labels)
+    deltas = _deltas(postings.select("doc_id").distinct(), roots, docs)
+    near = write_table(near.unionByName(_verified(_grouped_links(deltas, labels), docs)), "grouped")
+    labels = connected(near)
+    # A root was compared in its own group and, where it has a root itself, in that one's: either may name it.
+    compared = deltas.groupBy("doc_id").agg(F.min(F.struct((F.col("root") != F.col("doc_id")).alias("other"), "root"))["root"].alias("root"))
+    postings = _spanning_only(postings.drop("root").join(compared, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), labels)
     for _ in range(CHAINS):
         links = _chain_links(postings, docs)
         if links.isEmpty():
@@ -601,8 +726,8 @@ def links(docs: DataFrame) -> DataFrame:
     sums = packs.agg(F.sum("entries").alias("entries")).first()["entries"] or 0
     n_shards = max(1, -(-sums // SHARD_SHINGLES))
     answers = write_table(_lists(packs, n_shards).groupBy("shard").applyInArrow(_spanning, _TOLD), "spanning")
-    postings = _postings(packs, answers, n_shards, max(1, reps.count())).withColumn("component", F.col("doc_id"))
-    postings = write_table(postings.select("shard", "token", "doc_id", "component", "n", "place", "l", "most", "tokens", "places"), "postings")
+    postings = _postings(packs, answers, n_shards, max(1, reps.count())).withColumns({"component": F.col("doc_id"), "root": F.col("doc_id")})
+    postings = write_table(postings.select(*_POSTED), "postings")
     return _verified(_candidates(postings), docs)
 
 
