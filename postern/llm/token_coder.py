@@ -1,13 +1,15 @@
 """Adaptive context-mixing range coder for token ids, over many independent blocks at once.
 
-Each id is coded as one of four events: the order-2 context's prediction, the order-1 context's
-prediction, the order-0 memory's occupant of the id's slot (then the slot follows), or a literal
-(then the id follows). Each order has event counts under its own confidence; their distributions
-are mixed with weights that follow how well each order has predicted. A block starts from a blank
-model, has its own checksum and can be decoded alone.
-
-The blocks of a record are coded in lockstep, one numpy lane a block. Both directions make the same
-elementary IEEE operations in the same order, so they agree bit for bit on any machine.
+An id's probability is a mixture of three orders: the id that last followed the same two ids (order 2), the
+id that last followed the same one (order 1), and the frequencies of the block's ids so far (order 0); an id
+new to the block falls back on a fixed prior that favours small ids, as merge order does. The mixture's
+weights are counted for each state: which orders predict, whether they agree, and for how long they have been
+right. Predictions follow every id; weights and frequencies follow at the marks of MARKS. A block starts
+from a blank model, has its own checksum and can be decoded alone.
+
+The blocks of a record are coded in lockstep, one numpy lane a block; all arithmetic is on integers, so
+both directions agree on any machine. Encoding needs no step-by-step model: what last followed a context is
+found by sorting. An empty sequence gives a record without blocks; ids are never null.
 """
 
 from __future__ import annotations
@@ -18,165 +20,228 @@ import numpy as np
 
 from postern.llm.common import pack, unpack
 
-BLOCK_IDS = 4096
-MAGIC = b"PTK1"
-_SLOTS = 12  # bits of the order-1 and order-2 tables
-_MEMORY = 8  # bits of the order-0 memory
+#: Ids of a block.
+BLOCK_IDS = 1 << 15
+MAGIC = b"PTK2"
+#: Where in a block weights and frequencies are counted anew.
+MARKS = (0, 128, 256, 512, 1024, 1536, 2048, 3072, 4096, 6144, 8192, 10240, 12288, 16384, 20480, 24576, 28672)
+_ONE, _TWO = 13, 14  # bits of the order-1 and order-2 tables
+_STATES = 16
+_EVENT, _LITERAL = 10, 20  # bits of an event's and of a literal's frequencies
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 40)
 _MASK = np.uint64((1 << 40) - 1)
-_16, _12, _48 = np.uint64(16), np.uint64(12), np.uint64(48)
-_EVENTS = 4
-_SCALE = 4096 - _EVENTS
-
-
-class Lanes:
-    """The model's state for every lane: predictions, event counts and mixing weights."""
-
-    def __init__(self, n: int) -> None:
-        self.lane = np.arange(n)
-        self.two = np.full(n << _SLOTS, -4, np.int32)  # id << 2 | confidence
-        self.one = np.full(n << _SLOTS, -4, np.int32)
-        self.zero = np.full(n << _MEMORY, -1, np.int32)
-        start = np.array([2.0, 1.0, 2.0, 4.0], np.float32)
-        self.count2 = np.repeat(np.tile(start, 4), n).reshape(16 * n)  # [confidence, event, lane]
-        self.count1 = self.count2.copy()
-        self.count0 = np.repeat(start, n)
-        self.w2 = np.full(n, 1 / 3, np.float32)
-        self.w1, self.w0 = self.w2.copy(), self.w2.copy()
-        self.prev = np.zeros(n, np.int32)
-        self.last = np.zeros(n, np.int32)
-        self.n = n
-        self.base = self.lane << _SLOTS
-        self.memory = self.lane << _MEMORY
-
-    def predict(self) -> None:
-        mask = (1 << _SLOTS) - 1
-        n, lane = self.n, self.lane
-        h = self.prev * np.int32(40503)
-        self.at1 = self.base + (h >> 4 & mask)
-        self.at2 = self.base + ((h ^ self.last * np.int32(30011)) >> 5 & mask)
-        self.got2, self.got1 = self.two[self.at2], self.one[self.at1]
-        self.p2, self.p1 = self.got2 >> 2, self.got1 >> 2
-        self.row2 = (self.got2 & 3) * (4 * n) + lane
-        self.row1 = (self.got1 & 3) * (4 * n) + lane
-        a = [self.count2[self.row2 + k * n] for k in range(4)]
-        b = [self.count1[self.row1 + k * n] for k in range(4)]
-        c = [self.count0[k * n : (k + 1) * n] for k in range(4)]
-        self.f2 = 1 / (a[0] + a[1] + a[2] + a[3])
-        self.f1 = 1 / (b[0] + b[1] + b[2] + b[3])
-        self.f0 = 1 / (c[0] + c[1] + c[2] + c[3])
-        u, v, w = self.w2 * self.f2 * _SCALE, self.w1 * self.f1 * _SCALE, self.w0 * self.f0 * _SCALE
-        f = [1 + (u * a[k] + v * b[k] + w * c[k]).astype(np.int32) for k in range(3)]
-        self.cum1 = f[0]
-        self.cum2 = f[0] + f[1]
-        self.cum3 = self.cum2 + f[2]
-
-    def update(self, event: np.ndarray, x: np.ndarray, slot: np.ndarray) -> None:
-        n = self.n
-        step = event * n
-        at2, at1, at0 = self.row2 + step, self.row1 + step, self.lane + step
-        c2, c1, c0 = self.count2[at2], self.count1[at1], self.count0[at0]
-        w2, w1, w0 = self.w2 * (c2 * self.f2) + 1e-3, self.w1 * (c1 * self.f1) + 1e-3, self.w0 * (c0 * self.f0) + 1e-3
-        whole = (0.999 - 3e-6) / (w2 + w1 + w0)
-        self.w2, self.w1, self.w0 = w2 * whole, w1 * whole, w0 * whole
-        self.count2[at2], self.count1[at1], self.count0[at0] = c2 + 1, c1 + 1, c0 + 1
-        new = x << 2
-        for table, at, got, p in ((self.two, self.at2, self.got2, self.p2), (self.one, self.at1, self.got1, self.p1)):
-            table[at] = np.where(p == x, np.minimum(got + 1, new | 3), new)
-        self.zero[slot] = x
-        self.last, self.prev = self.prev, x
-
-
-def _slot(lanes: Lanes, x: np.ndarray) -> np.ndarray:
-    return lanes.memory + (x & (1 << _MEMORY) - 1)
-
-
-def _renorm(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lanes that shift out a word now, and of those the ones whose span must shrink first."""
-    same = (low ^ (low + span)) < _TOP
-    need = np.flatnonzero(same | (span < _LOW))
-    short = need[~same[need]]
-    if len(short):
-        span[short] = (~low[short] + np.uint64(1)) & _MASK
-    return need, short
+_16, _48, _WHOLE = np.uint64(16), np.uint64(48), np.uint64(_EVENT + _LITERAL)
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Events of a state before any was counted: order 2 right, order 1 right, an id of the block, an id new to it.
+_START = np.array([1, 1, 2, 4], np.int64)
+
+
+def _slots(last: np.ndarray, prev: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = prev * np.int32(40503)
+    return h >> 4 & (1 << _ONE) - 1, (h ^ last * np.int32(30011)) >> 5 & (1 << _TWO) - 1
+
+
+def _prior(bits: int) -> np.ndarray:
+    """Cumulative frequencies of ids that a block has not seen; the last is at most 1 << _LITERAL."""
+    n = 1 << bits
+    z = (1 << 30) // (np.arange(n, dtype=np.int64) + 512)
+    return np.concatenate([[0], np.cumsum(1 + z * ((1 << _LITERAL) - n) // z.sum())])
+
+
+def _seen(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids counted and their cumulative frequencies."""
+    ids = np.flatnonzero(count)
+    c = count[ids].astype(np.int64)
+    return ids, np.concatenate([[0], np.cumsum(1 + c * ((1 << _LITERAL) - len(c)) // max(1, int(c.sum())))])
+
+
+def _weights(events: np.ndarray) -> np.ndarray:
+    """[..., state, event] counts to cumulative frequencies [..., state, event + 1]."""
+    f = 1 + events * ((1 << _EVENT) - 4) // events.sum(-1, keepdims=True)
+    return np.concatenate([np.zeros((*f.shape[:-1], 1), np.int64), np.cumsum(f, -1)], -1)
+
+
+def _told(w: np.ndarray) -> np.ndarray:
+    """[lane * state + state, part of the whole]: the event that a part belongs to."""
+    return np.repeat(np.tile(np.arange(4, dtype=np.int8), len(w)), np.concatenate([np.diff(w[:, :4]), (1 << _EVENT) - w[:, 3:4]], 1).reshape(-1))
+
+
+def _state(p2: np.ndarray, p1: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which orders predict (none, order 1 alone, both alike, otherwise), and the last run of right predictions."""
+    return 4 * np.where(p2 < 0, p1 >= 0, 2 + (p1 != p2)) + run
+
+
+def _followers(ids: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """The id at the last earlier place of the same slot, -1 where there is none."""
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    s, x = slot[order], ids[order]
+    out = np.full(len(ids), -1, np.int32)
+    out[order[1:]] = np.where(s[1:] == s[:-1], x[:-1], -1)
+    return out
+
+
+def _intervals(ids: np.ndarray, bits: int, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each id's interval starts and how wide it is, in a whole of 1 << _EVENT + _LITERAL."""
+    n = len(ids)
+    past = np.concatenate([np.zeros(2, np.int32), ids])
+    one, two = _slots(past[:n], past[1 : n + 1])
+    p1, p2 = _followers(ids, one), _followers(ids, two)
+    event = np.where(ids == p2, 0, np.where(ids == p1, 1, 2))
+    right = np.concatenate([np.zeros(3, np.int64), event < 2])
+    a, b, c = right[2 : n + 2], right[1 : n + 1], right[:n]
+    state = _state(p2, p1, a * (1 + b * (1 + c)))
+    start, width = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    own, rank = np.unique(ids, return_inverse=True)
+    count = np.zeros(len(own), np.int64)
+    events = np.tile(_START, (_STATES, 1))
+    for low, high in zip(MARKS, (*MARKS[1:], n), strict=True):
+        x, r, e, s = ids[low:high], rank[low:high], event[low:high], state[low:high]
+        if not len(x):
+            break
+        known, cum = _seen(count)
+        at = np.searchsorted(known, r)
+        e += (e == 2) & (count[r] == 0)
+        first = np.where(e < 2, 0, np.where(e == 2, cum[np.minimum(at, len(cum) - 1)], prior[x]))
+        wide = np.where(e < 2, 1 << _LITERAL, np.where(e == 2, cum[np.minimum(at + 1, len(cum) - 1)], prior[x + 1]) - first)
+        w = _weights(events)
+        weight = w[s, e + 1] - w[s, e]
+        start[low:high] = (w[s, e] << _LITERAL) + weight * first
+        width[low:high] = weight * wide
+        count += np.bincount(r, minlength=len(own))
+        events += np.bincount(4 * s + e, minlength=4 * _STATES).reshape(_STATES, 4)
+    return start, width
+
+
+def _due(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Whether a word leaves: the top one is settled, or the span has become too narrow."""
+    return ((low ^ (low + span)) < _TOP) | (span < _LOW)
+
+
+def _narrowed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The span of a lane that shifts, cut where its top word is not settled yet."""
+    return np.where((low ^ (low + span)) < _TOP, span, (~low + np.uint64(1)) & _MASK)
 
 
 def encode_lanes(ids: np.ndarray, bits: int) -> list[bytes]:
-    """ids: [step, lane] int32 below 1 << bits. The bytes of each lane."""
-    steps, n = ids.shape
-    m = Lanes(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out = np.zeros((n, (steps * (bits + 16)) // 16 + 8), np.uint16)
-    flat, width = out.reshape(-1), out.shape[1]
-    to = np.arange(n) * width
-    extra = np.array([0, 0, _MEMORY, bits], np.uint64)
+    """ids: [lane, step] int32 below 1 << bits. The bytes of each lane."""
+    n, steps = ids.shape
+    prior = _prior(bits)
+    start, width = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint32)
+    for k in range(n):
+        start[:, k], width[:, k] = _intervals(ids[k], bits, prior)
+    low, span = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
+    out = np.zeros((n, steps * 2 + 8), np.uint16)
+    flat, wide = out.reshape(-1), out.shape[1]
+    to = np.arange(n) * wide
     for k in range(steps):
-        x = ids[k]
-        m.predict()
-        slot = _slot(m, x)
-        event = np.where(x == m.p2, 0, np.where(x == m.p1, 1, np.where(m.zero[slot] == x, 2, 3)))
-        cum = np.choose(event, (np.int32(0), m.cum1, m.cum2, m.cum3)).astype(np.uint64)
-        end = np.choose(event, (m.cum1, m.cum2, m.cum3, np.int32(4096))).astype(np.uint64)
-        span >>= _12
-        low += cum * span
-        span *= end - cum
-        span >>= extra[event]
-        tail = np.where(event == 3, x, np.where(event == 2, slot - m.memory, 0)).astype(np.uint64)
-        low += tail * span
-        m.update(event, x, slot)
-        while True:
-            need, _ = _renorm(low, span)
-            if not len(need):
-                break
-            flat[to[need]] = (low[need] >> _48).astype(np.uint16)
+        span >>= _WHOLE
+        low += start[k] * span
+        span *= width[k]
+        need = np.flatnonzero(_due(low, span))
+        while len(need):
+            l, s = low[need], span[need]  # noqa: E741
+            s = _narrowed(l, s) << _16
+            flat[to[need]] = l >> _48
             to[need] += 1
-            low[need] <<= _16
-            span[need] <<= _16
+            l <<= _16
+            low[need], span[need] = l, s
+            need = need[_due(l, s)]
     for _ in range(4):
-        flat[to] = (low >> _48).astype(np.uint16)
+        flat[to] = low >> _48
         to += 1
         low <<= _16
-    return [flat[k * width : e].astype("<u2").tobytes() for k, e in enumerate(to.tolist())]
+    return [flat[k * wide : e].astype("<u2").tobytes() for k, e in enumerate(to.tolist())]
+
+
+class _Frequencies:
+    """The seen ids of all lanes, their cumulative frequencies end to end (a lane's begin at lane << _LITERAL)."""
+
+    def __init__(self, ids: np.ndarray, bits: int) -> None:
+        every = [_seen(np.bincount(ids[:, k], minlength=1 << bits)) for k in range(ids.shape[1])]
+        self.ids = np.concatenate([np.append(ids, 0) for ids, _ in every]).astype(np.int32)
+        self.keys = np.concatenate([*(cum + (k << _LITERAL) for k, (_, cum) in enumerate(every)), [len(every) << _LITERAL]])
+
+    def find(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = lane << _LITERAL
+        at = np.searchsorted(self.keys, own + target, side="right") - 1
+        first = self.keys[at]
+        return self.ids[at], first - own, self.keys[at + 1] - first
 
 
 def decode_lanes(parts: list[bytes], steps: int, bits: int) -> np.ndarray:
+    """The ids [step, lane] of lanes that `encode_lanes` wrote."""
     n = len(parts)
-    m = Lanes(n)
+    prior = _prior(bits)
     sizes = np.array([len(p) // 2 for p in parts], np.int64)
     words = np.frombuffer(b"".join(parts) + b"\0" * 16, "<u2").astype(np.uint64)
+    last_word = len(words) - 1
     at = np.cumsum(sizes) - sizes
-    low, span = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = np.zeros(n, np.uint64)
+    low, span, code = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64), np.zeros(n, np.uint64)
     for k in range(4):
         code = code << _16 | words[at + k]
     at += 4
-    last = len(words) - 1
+    lane = np.arange(n)
+    one, two = np.full(n << _ONE, -1, np.int32), np.full(n << _TWO, -1, np.int32)
+    base1, base2, base = lane << _ONE, lane << _TWO, lane * _STATES
+    events = np.tile(_START, (n * _STATES, 1))
     out = np.zeros((steps, n), np.int32)
-    extra = np.array([0, 0, _MEMORY, bits], np.uint64)
-    for k in range(steps):
-        m.predict()
-        span >>= _12
-        target = np.minimum((code - low) // span, np.uint64(4095)).astype(np.int32)
-        event = (target >= m.cum1).astype(np.int64) + (target >= m.cum2) + (target >= m.cum3)
-        cum = np.choose(event, (np.int32(0), m.cum1, m.cum2, m.cum3)).astype(np.uint64)
-        end = np.choose(event, (m.cum1, m.cum2, m.cum3, np.int32(4096))).astype(np.uint64)
-        low += cum * span
-        span *= end - cum
-        span >>= extra[event]
-        tail = (code - low) // span
-        low += np.where(event >= 2, tail, np.uint64(0)) * span
-        tail = tail.astype(np.int64)
-        x = np.where(event == 0, m.p2, np.where(event == 1, m.p1, np.where(event == 2, m.zero[m.memory + (tail & (1 << _MEMORY) - 1)], tail))).astype(np.int32)
-        out[k] = x
-        m.update(event, x, _slot(m, x))
-        while True:
-            need, _ = _renorm(low, span)
-            if not len(need):
-                break
-            low[need] <<= _16
-            span[need] <<= _16
-            code[need] = code[need] << _16 | words[np.minimum(at[need], last)]
-            at[need] += 1
+    told = np.zeros((steps, n), np.int32)  # state and event of each step
+    prev, last, run = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
+    whole = np.int64(1 << _LITERAL)
+    for mark, until in zip(MARKS, (*MARKS[1:], steps), strict=True):
+        if mark >= steps:
+            break
+        until = min(until, steps)  # noqa: PLW2901
+        w = _weights(events)
+        edges = w.reshape(-1)
+        event_at = _told(w)
+        held = _Frequencies(out[:mark], bits)
+        for k in range(mark, until):
+            slot1, slot2 = _slots(last, prev)
+            slot1, slot2 = slot1 + base1, slot2 + base2
+            p1, p2 = one[slot1], two[slot2]
+            s = base + _state(p2, p1, run)
+            span >>= _WHOLE
+            target = ((code - low) // span).view(np.int64)
+            e = event_at[(s << _EVENT) + (target >> _LITERAL)]
+            edge = s * 5 + e
+            first = edges[edge]
+            weight = edges[edge + 1] - first
+            x = np.where(e == 0, p2, p1)
+            first <<= _LITERAL
+            wide = weight * whole
+            lit = np.flatnonzero(e >= 2)
+            if len(lit):
+                own = weight[lit]
+                rest = (target[lit] - first[lit]) // own
+                new = e[lit] == 3
+                got, begin, width = held.find(lit, rest)
+                if new.any():
+                    spot = np.minimum(np.searchsorted(prior, rest[new], side="right") - 1, (1 << bits) - 1)
+                    got[new], begin[new], width[new] = spot, prior[spot], prior[spot + 1] - prior[spot]
+                x[lit] = got
+                first[lit] += own * begin
+                wide[lit] = own * width
+            low += first.view(np.uint64) * span
+            span *= wide.view(np.uint64)
+            out[k] = x
+            told[k] = 4 * s + e
+            one[slot1] = x
+            two[slot2] = x
+            run = np.where(e < 2, np.minimum(run + 1, 3), 0)
+            last, prev = prev, x
+            need = np.flatnonzero(_due(low, span))
+            while len(need):
+                l, sp = low[need], span[need]  # noqa: E741
+                sp = _narrowed(l, sp) << _16
+                spots = at[need]
+                code[need] = code[need] << _16 | words[np.minimum(spots, last_word)]
+                at[need] = spots + 1
+                l <<= _16
+                low[need], span[need] = l, sp
+                need = need[_due(l, sp)]
+        if until < steps:
+            events += np.bincount(told[mark:until].reshape(-1), minlength=4 * n * _STATES).reshape(-1, 4)
     return out
 
 
@@ -184,10 +249,10 @@ def encode(ids: np.ndarray, bits: int = 16, block: int = BLOCK_IDS) -> bytes:
     """A self-contained record of all `ids` (unsigned, below 1 << bits): header, then blocks with a checksum each."""
     n = len(ids)
     blocks = -(-n // block)
+    block = max(1, -(-n // max(1, blocks)))  # blocks of one size: lanes end together
     grid = np.zeros(blocks * block, np.int32)
     grid[:n] = ids
-    steps = min(block, n)
-    parts = encode_lanes(np.ascontiguousarray(grid.reshape(blocks, block)[:, :steps].T), bits) if n else []
+    parts = encode_lanes(grid.reshape(blocks, block), bits) if n else []
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, n, block)]
     head = pack([np.array([n, block, bits], np.int64), np.array(list(map(len, parts)), np.int64), np.array(sums, np.uint32)])
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts)
@@ -204,7 +269,10 @@ def decode(record: bytes) -> np.ndarray:
     parts = [record[a:b] for a, b in zip([start, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
     if not n:
         return np.zeros(0, np.uint32)
-    ids = np.ascontiguousarray(decode_lanes(parts, min(block, n), bits).T).astype(np.uint32)
+    try:
+        ids = np.ascontiguousarray(decode_lanes(parts, block, bits).T).astype(np.uint32)
+    except IndexError:
+        raise ValueError("a block does not decode") from None
     ids = ids.reshape(-1)[:n]
     for k, crc in enumerate(np.frombuffer(sums, np.uint32).tolist()):
         if zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) != crc:

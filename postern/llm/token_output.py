@@ -14,9 +14,11 @@ their texts. An empty table writes no records. Extra columns are not written.
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +29,101 @@ from postern.llm.common import pack, texts_of, unpack, write_table
 from postern.llm.token_coder import decode, encode
 
 #: Ids that a record holds before it is closed (documents are never split between records).
-RECORD_IDS = 2 << 20
+RECORD_IDS = 8 << 20
+#: Text bytes of a file: a few records, whose blocks are coded side by side.
+FILE_BYTES = 32 << 20
 END_ID = 1
-#: White-space separated words whose ids a worker keeps before it starts anew, and the longest that it takes.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: White-space separated words, and pieces of words, whose ids a worker keeps before it starts anew, and the longest that it takes.
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 400_000, 400_000, 64
 BITS = 16
 
+# The vocabulary's split of a text into pieces, for plain ASCII in lower case and for any letters.
+ASCII_PIECES = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+PIECES = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: What a word may be made of for its pieces to be told outside the library: no marks, controls or odd spaces.
+PLAIN = r"[\p{L}\p{N}\p{P}\p{S}]+"
+
 
 class _Tokenizer:
+    """Ids by the library, each distinct piece of a word once a cache's life.
+
+    No token crosses white space, so words are encoded apart. A word is split as the vocabulary's pattern
+    splits it; pieces new to the cache go to the library as one text, blanks between them. Every piece
+    gives at least one id that ends a word, and one at most if it was told rightly: where the number of such
+    ids is the number of pieces, each piece's ids are known, otherwise the library takes them one by one.
+    Words with special tokens, marks or controls go to the library whole.
+    """
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         if self.inner.get_vocab_size() > 1 << BITS:
             raise ValueError("vocabularies of up to 65536 ids only")
-        self.cache: dict[bytes, bytes] = {}
+        suffix = getattr(self.inner.model, "end_of_word_suffix", None) or "\0"
+        self.ends = np.zeros(1 << BITS, np.bool_)
+        self.ends[[k for t, k in self.inner.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+        self.special = [t.content.encode() for t in self.inner.get_added_tokens_decoder().values()]
+        if not all(b"|" in s for s in self.special):
+            raise ValueError("special tokens must hold a bar")
+        self.ascii, self.pieces, self.plain = re.compile(ASCII_PIECES), regex.compile(PIECES), regex.compile(PLAIN)
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, texts: list[bytes]) -> list[bytes]:
+        return [array("H", e.ids).tobytes() for e in self.inner.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _split(self, word: bytes) -> Sequence[bytes] | None:
+        """A word's pieces, None where only the library can tell."""
+        if word.isascii():
+            low = word.lower()
+            if low.isalpha():
+                return (low,)
+            return None if b"|" in low and any(s in word for s in self.special) else self.ascii.findall(low)
+        text = word.decode()
+        if not text.isalpha() and (not self.plain.fullmatch(text) or "|" in text and any(s in word for s in self.special)):
+            return None
+        low = text.lower()
+        if not (low.isalpha() or self.plain.fullmatch(low)) or not unicodedata.is_normalized("NFC", text):
+            return None
+        return (word,) if text.isalpha() else [x.encode() for x in self.pieces.findall(text)]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), 4096):
+            own = pieces[at : at + 4096]
+            ids = np.array(self.inner.encode_batch_fast([b" ".join(own).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own) and (not len(ids) or ends[-1] == len(ids)):
+                raw, cuts = ids.tobytes(), (2 * ends).tolist()
+                self.known.update(zip(own, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self.known.update(zip(own, self._one_by_one(own), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text with the end id, two bytes each. No token crosses ASCII white space, so words are encoded once."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+        """Ids of each text with the end id, two bytes each."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
         words = [t.split() for t in texts]
-        cache = self.cache
-        new = {w for ws in words for w in ws if w not in cache}
-        listed = list(new)
-        here = {w: array("H", e.ids).tobytes() for w, e in zip(listed, self.inner.encode_batch_fast([w.decode() for w in listed], add_special_tokens=False), strict=True)}
-        cache.update((w, x) for w, x in here.items() if len(w) <= CACHE_BYTES)
-        known = cache.__getitem__ if len(cache) and all(len(w) <= CACHE_BYTES for w in listed) else (cache | here).__getitem__
+        found = [list(map(self.words.get, ws)) for ws in words]
+        new = list({w for ws, xs in zip(words, found, strict=True) if None in xs for w, x in zip(ws, xs, strict=True) if x is None})
+        split = [self._split(w) for w in new]
+        self._learn(list({x for xs in split if xs is not None for x in xs if x not in self.known}))
+        whole = [w for w, xs in zip(new, split, strict=True) if xs is None]
+        here = dict(zip(whole, self._one_by_one(whole), strict=True)) if whole else {}
+        ids = self.known
+        for w, xs in zip(new, split, strict=True):
+            if xs is not None:
+                here[w] = ids[xs[0]] if len(xs) == 1 else b"".join([ids[x] for x in xs])
+        self.words.update((w, x) for w, x in here.items() if len(w) <= CACHE_BYTES)
         end = np.array([END_ID], "<u2").tobytes()
-        return [b"".join([*map(known, ws), end]) for ws in words]
+        out = [b"".join([*(xs if None not in xs else [here[w] if x is None else x for w, x in zip(ws, xs, strict=True)]), end]) for ws, xs in zip(words, found, strict=True)]
+        for x in [x for xs in split if xs is not None for x in xs if len(x) > CACHE_BYTES]:
+            self.known.pop(x, None)
+        return out
 
 
 _OPEN: dict[str, _Tokenizer] = {}
@@ -106,7 +172,8 @@ def write(docs: DataFrame, path: str) -> DataFrame:
 
     # Texts are dealt, not ids: finding the ranges reads the rows once more, which would tokenise them twice.
     first = F.col("doc_id").asc_nulls_first()
-    dealt = docs.select("doc_id", "text").repartitionByRange(first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // FILE_BYTES)), first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
     return write_table(tokenized(dealt, path).mapInArrow(rows, "part int, seq int, start long, n_ids long, record binary"), "records")
 
 

@@ -102,18 +102,36 @@ def test_filter_never_underestimates():
 
 
 def test_token_files(spark):
-    rows = corpus()
-    enc = token_output._Tokenizer(P.path("word_bpe_49k.json"))
+    from tokenizers import Tokenizer
+
+    rows = corpus() + [(700, "hello <|endoftext|> world", "x"), (701, "a<|startoftext|>b<|endoftext|>", "x"), (702, "İ–x e\u0301. it's 'LL 12\x1c3 \u00a0 a|b<|", "x")]
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     got = sorted(token_output.op2(frame(spark, rows)).collect(), key=lambda r: r.start)
     at = 0
     for (d, x, _), g in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
-        ids = [*enc.inner.encode(x or "", add_special_tokens=False).ids, 1]
+        ids = [*library.encode(x or "", add_special_tokens=False).ids, 1]
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
     assert token_output.op2(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 4095, 4096, 4097, 9000])
+def test_tokenizer_equals_the_library(monkeypatch):
+    """Words told by their pieces, on odd letters, marks, spaces and special tokens, with caches that turn over."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 50)
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 50)
+    library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_output._Tokenizer(P.path("word_bpe_49k.json"))
+    r = random.Random(0)
+    letters = list("abzAZ09'.,|<-–“”é\u0301\u00a0\u2003İſßΣσςΑ漢字Å\u212bﬁ²½Ⅷ٣\x00\x1c\x1f\u180e\u200b\ufeff😀\u0378 \n\t") + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "hello", "World", "x" * 70]
+    for _ in range(1000):
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(4)]
+        for t, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 257, 4097, 20_000, 40_000])
 @pytest.mark.parametrize("top", [2, 300, 65536])
 def test_coder_round_trip(n, top):
     ids = np.random.default_rng(n).integers(0, top, n).astype(np.uint32)
@@ -128,7 +146,20 @@ def test_coder_round_trip(n, top):
 
 def test_coder_adapts():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
-    assert len(token_coder.encode(ids)) * 8 / len(ids) < 2
+    assert len(token_coder.encode(ids)) * 8 / len(ids) < 0.5
+
+
+def test_coder_beats_a_byte_compressor_on_real_ids():
+    """Ids of texts take fewer bits than plain 16-bit ids under zstd level 3 do."""
+    import pyarrow.parquet as pq
+    import zstandard
+
+    own = token_output._Tokenizer(P.path("word_bpe_49k.json"))
+    texts = [(x or "").encode() for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ids = np.frombuffer(b"".join(own.encode(texts)), "<u2")
+    record = token_coder.encode(ids)
+    assert len(record) < 0.99 * len(zstandard.ZstdCompressor(level=3).compress(ids.tobytes()))
+    assert (token_coder.decode(record) == ids).all()
 
 
 def brute_dedup(rows, w=substring_dedup.WINDOW):
