@@ -135,6 +135,19 @@ def batch_table(reports: DataFrame) -> DataFrame:
     return reports.select(F.regexp_extract("source", r"([^/\\]*)$", 1).alias("file"), "verdict", "score", F.when(top == "", "-").otherwise(top).alias("top_indicators"), "ord").orderBy(F.desc("score"), "ord").drop("ord")
 
 
+#: Messages whose first appearances are numbered by one task.
+NUMBERED = 10_000
+
+
 def merged_in_order(found: DataFrame) -> DataFrame:
-    """`merged_iocs` numbered within each type by first appearance."""
-    return merged_iocs(found).withColumn("n", F.row_number().over(Window.partitionBy("type").orderBy("first.ord", "first.pos", "value"))).select("type", "value", "n")
+    """`merged_iocs` numbered within each type by first appearance: within runs of NUMBERED messages, and from where the runs before end."""
+    placed = merged_iocs(found).withColumn("run", F.floor(F.col("first.ord") / NUMBERED))
+    within = Window.partitionBy("type", "run").orderBy("first.ord", "first.pos", "value")
+    # A row a type and run: small enough for one task a type.
+    before = placed.groupBy("type", "run").count().select("type", "run", F.coalesce(F.sum("count").over(Window.partitionBy("type").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.withColumn("k", F.row_number().over(within)).join(before, ["type", "run"]).select("type", "value", (F.col("k") + F.col("before")).alias("n"))
+
+
+def failures(reports: DataFrame) -> DataFrame:
+    """source, ord, error of the messages that could not be parsed."""
+    return reports.where("error is not null").select("source", "ord", "error")

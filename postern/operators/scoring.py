@@ -90,10 +90,14 @@ def grouped(reports: DataFrame) -> DataFrame:
     return flat.groupBy("source", "category").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("findings")).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("first"))).drop("first")
 
 
-def exit_code(reports: DataFrame, fail_on: str | None = None) -> int:
-    """0, or 1 where the worst verdict reaches `fail_on` (which never happens for Benign); 3 where nothing was parsed."""
+#: What a run may fail on: the verdicts by their names in lower case, or nothing.
+FAIL_ON = {v.lower().replace(" ", "-"): k for k, v in enumerate(intel.VERDICTS)} | {"never": 0}
+
+
+def exit_code(reports: DataFrame, fail_on: str = "suspicious") -> int:
+    """0, or 1 where the worst verdict reaches `fail_on` (which never happens for benign and never); 3 where nothing was parsed."""
     worst = reports.agg(F.max(verdict_rank(F.col("verdict"))).alias("r")).first()["r"]
     if worst is None:
         return 3
-    threshold = {v.lower().replace(" ", "-"): k for k, v in enumerate(intel.VERDICTS)}.get((fail_on or "").lower().replace(" ", "-"), 0)
-    return int(threshold > 0 and worst >= threshold)
+    least = FAIL_ON[fail_on]
+    return int(0 < least <= worst)

@@ -20,7 +20,7 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
     """Files and directories (recursively, by ending), in argument order and sorted within each directory.
 
     A path that does not exist is left out, a file named outright may have any ending, and what two
-    arguments both cover comes twice. `ord` is the argument's place and the path's rank in it.
+    arguments both cover comes twice. `ord` ascends with the argument and the path in it; it need not be dense.
     """
     out = None
     for k, path in enumerate(paths):
@@ -35,9 +35,9 @@ def scan(spark: SparkSession, *paths: str) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], SCHEMA)
-    # Ranks come from the paths alone; contents are not sorted.
-    ranks = out.select("argument", "source").distinct().groupBy("argument").agg(F.array_sort(F.collect_list("source")).alias("all")).select("argument", F.posexplode("all").alias("pos", "source"))
-    return out.join(ranks, ["argument", "source"]).select("source", "content", ((F.col("argument").cast("long") * F.lit(1 << 40)) + F.col("pos")).alias("ord"))
+    # Places come from the paths alone, in ranges; contents are not sorted.
+    places = out.select("argument", "source").distinct().orderBy("argument", "source").withColumn("ord", F.monotonically_increasing_id())
+    return out.join(places, ["argument", "source"]).select("source", "content", "ord")
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:

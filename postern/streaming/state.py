@@ -6,7 +6,6 @@ streams (`applyInPandasWithState`) alike.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -58,8 +57,12 @@ def rate_limit(requests: DataFrame, limit: int = 60, window: float = 60.0) -> Da
     return ordered.mapInPandas(run, "client string, request long, at double, accepted boolean")
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
-    """The limiter over a stream of (client string, request long, at double); a client's log expires with the window."""
+def rate_limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0, delay: str = "10 minutes") -> DataFrame:
+    """The limiter over a stream of (client string, request long, at double, in seconds).
+
+    Logs expire by event time: once the watermark, `delay` behind the latest request, has passed a log's last stamp by the
+    window. So a replayed backlog is judged as it was live. Requests behind the watermark are not judged and give no row.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -68,73 +71,49 @@ def rate_limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0
         rows = pd.concat(list(batches)).sort_values(["at", "request"])
         ok, stamps = _admitted(rows["at"], list(state.get[0]) if state.exists else [], limit, window)
         state.update((stamps,))
-        state.setTimeoutDuration(int(window * 1000))
+        state.setTimeoutTimestamp(max(int((max(stamps, default=rows["at"].max()) + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(accepted=ok)[["client", "request", "at", "accepted"]]
 
-    return requests.groupBy("client").applyInPandasWithState(run, "client string, request long, at double, accepted boolean", "stamps array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("seen", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).withWatermark("seen", delay)
+    return timed.groupBy("client").applyInPandasWithState(run, "client string, request long, at double, accepted boolean", "stamps array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-class Store:
-    """Results by token: they expire `ttl` seconds after they were put (0: at once), and the least recently used goes when full.
+#: What a store holds: token to (time put, value), the least recently used first.
+Held = dict[str, tuple[float, str]]
 
-    Reading a result makes it recently used but does not prolong it.
-    """
 
-    def __init__(self, ttl: float = 1800, most: int = 200, entries: Iterable[tuple[str, float, str]] = ()) -> None:
-        self.ttl, self.most = ttl, most
-        self.entries: OrderedDict[str, tuple[float, str]] = OrderedDict((t, (at, v)) for t, at, v in entries)
-
-    def expire(self, now: float) -> None:
-        for token in [t for t, (at, _) in self.entries.items() if at <= now - self.ttl]:
-            del self.entries[token]
-
-    def put(self, token: str, value: str, now: float) -> None:
-        self.expire(now)
-        self.entries[token] = now, value
-        self.entries.move_to_end(token)
-        while len(self.entries) > self.most:
-            self.entries.popitem(last=False)
-
-    def get(self, token: str, now: float) -> str | None:
-        self.expire(now)
-        if token not in self.entries:
-            return None
-        self.entries.move_to_end(token)
-        return self.entries[token][1]
-
-    def discard(self, token: str) -> bool:
-        return self.entries.pop(token, None) is not None
-
-    def clear(self) -> None:
-        self.entries.clear()
-
-    def size(self, now: float) -> int:
-        self.expire(now)
-        return len(self.entries)
-
-    def apply(self, op: str, token: str, value: str, now: float) -> str | None:
-        if op == "put":
-            self.put(token, value, now)
-            return token
-        if op == "get":
-            return self.get(token, now)
-        if op == "discard":
-            return str(self.discard(token)).lower()
-        if op == "clear":
-            return self.clear()
-        return str(self.size(now))
+def answered(held: Held, op: str, token: str, value: str, now: float, ttl: float = 1800, most: int = 200) -> tuple[Held, str | None]:
+    """One operation on a store: what it holds afterwards, and the answer.
+
+    Results live less than `ttl` seconds after they were put (0: never), and beyond `most` the least recently used go.
+    A result that is read becomes the latest used, but lives no longer for it. put answers the token, get the value or
+    nothing, discard whether there was one, size how many there are; clear answers nothing.
+    """
+    live = held if op in ("discard", "clear") else {t: e for t, e in held.items() if now - ttl < e[0]}
+    others = {t: e for t, e in live.items() if t != token}
+    if op == "put":
+        every = [*others.items(), (token, (now, value))]
+        return dict(every[max(0, len(every) - most) :]), token
+    if op == "get" and token in live:
+        return others | {token: live[token]}, live[token][1]
+    if op == "discard":
+        return others, str(token in live).lower()
+    return ({}, None) if op == "clear" else (live, str(len(live)) if op == "size" else None)
 
 
 def store_stream(operations: DataFrame, ttl: float = 1800, most: int = 200) -> DataFrame:
-    """(shard, n long, op, token, value, at double) to (shard, n, op, token, answer): a store a shard; its size cap needs one key."""
+    """(shard, n long, op, token, value, at double) to (shard, n, op, token, answer): `answered`, folded over a shard's operations by n.
+
+    A store's size is bounded by `most`; its cap needs all of a shard under one key.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else ([], [], [])
-        store = Store(ttl, most, zip(*kept, strict=True))
-        rows = pd.concat(list(batches)).sort_values("n")
-        answers = [store.apply(r.op, r.token, r.value, r.at) for r in rows.itertuples()]
-        entries = [(t, at, v) for t, (at, v) in store.entries.items()]
-        state.update(tuple([e[k] for e in entries] for k in range(3)))
+        held: Held = {t: (at, v) for t, at, v in zip(*state.get, strict=True)} if state.exists else {}
+        rows, answers = pd.concat(list(batches)).sort_values("n"), []
+        for r in rows.itertuples():
+            held, answer = answered(held, r.op, r.token, r.value, r.at, ttl, most)
+            answers.append(answer)
+        state.update((list(held), [at for at, _ in held.values()], [v for _, v in held.values()]))
         yield rows.assign(answer=answers)[["shard", "n", "op", "token", "answer"]]
 
     return operations.groupBy("shard").applyInPandasWithState(run, "shard string, n long, op string, token string, answer string", "tokens array<string>, ats array<double>, vals array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import time
 
 import mail
 import pytest
@@ -137,8 +136,8 @@ def test_array_and_table_scoring_agree(spark, judged):
 def test_critical_floor_and_exit_codes(judged):
     rows, out = judged
     assert rows["ATT-001+"].verdict == "Likely Phishing" and rows["ATT-001+"].breakdown.critical_floor_applied
-    assert scoring.exit_code(out, "malicious") == 1 and scoring.exit_code(out, "benign") == 0 and scoring.exit_code(out) == 0
-    assert scoring.exit_code(out.where("source = 'clean'"), "suspicious") == 0 and scoring.exit_code(out.limit(0)) == 3
+    assert scoring.exit_code(out, "malicious") == 1 and scoring.exit_code(out, "benign") == 0 and scoring.exit_code(out, "never") == 0 and scoring.exit_code(out) == 1
+    assert scoring.exit_code(out.where("source = 'clean'")) == 0 and scoring.exit_code(out.limit(0)) == 3
 
 
 def test_reports(judged):
@@ -220,17 +219,40 @@ def test_rate_limiter(spark):
     assert {r.request: r.accepted for r in got} == {0: True, 1: True, 2: False, 3: False, 4: True, 5: True, 9: True}
 
 
+def fold(ops, ttl=1800.0, most=200):
+    held, out = {}, []
+    for op, token, value, now in ops:
+        held, answer = state.answered(held, op, token, value, now, ttl, most)
+        out.append(answer)
+    return out
+
+
+STORED = [("put", f"t{k}", "v", k) for k in range(5)] + [("size", "", "", 4), ("get", "t0", "", 4), ("get", "t2", "", 5), ("put", "t9", "w", 6), ("get", "t2", "", 7), ("get", "t3", "", 7), ("get", "t2", "", 12), ("discard", "t9", "", 12), ("discard", "t9", "", 12), ("put", "a", "x", 13), ("clear", "", "", 13), ("size", "", "", 13)]
+ANSWERS = ["t0", "t1", "t2", "t3", "t4", "3", None, "v", "t9", "v", None, None, "true", "false", "a", None, "0"]
+
+
 def test_store():
-    s = state.Store(10, 3)
-    for k in range(5):
-        s.put(f"t{k}", "v", k)
-    assert s.size(4) == 3 and s.get("t0", 4) is None and s.get("t2", 5) == "v"
-    s.put("t9", "v", 6)
-    assert s.get("t2", 7) == "v" and s.get("t3", 7) is None and s.get("t2", 12) is None
-    assert state.Store(0).apply("put", "x", "v", 1) == "x"
-    zero = state.Store(0)
-    zero.put("x", "v", 1)
-    assert zero.get("x", 1) is None
+    assert fold(STORED, 10, 3) == ANSWERS
+    assert fold([("put", "x", "v", 1), ("get", "x", "", 1)], ttl=0) == ["x", None]
+    assert fold([("put", "x", "v", 1), ("size", "", "", 1)], most=0) == ["x", "0"]
+
+
+def test_store_stream(spark, tmp_path):
+    """Operations in two batches and two shards: the state carries over, shards stay apart."""
+    schema = "shard string, n long, op string, token string, value string, at double"
+    rows = [(shard, k, op, token, value, float(at)) for shard in "ab" for k, (op, token, value, at) in enumerate(STORED)]
+    for name, part in (("p0", rows[:7]), ("p1", rows[7:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ops"))
+        q = state.store_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "ops")), 10, 3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert q.awaitTermination(120), name
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("shard", "n").collect()
+    assert [r.answer for r in got] == ANSWERS * 2
+
+
+@pytest.mark.parametrize(("peer", "forwarded", "proxied", "want"), [("1.1.1.1", "2.2.2.2, 3.3.3.3", False, "1.1.1.1"), ("1.1.1.1", "2.2.2.2, 3.3.3.3", True, "2.2.2.2"), ("1.1.1.1", " ", True, "1.1.1.1"), (None, None, True, "unknown"), (None, "2.2.2.2", False, "unknown")])
+def test_client_key(spark, peer, forwarded, proxied, want):
+    row = spark.createDataFrame([(peer, forwarded)], "p string, f string")
+    assert row.select(state.client_key(F.col("p"), F.col("f"), proxied)).first()[0] == want
 
 
 def test_streams(spark, tmp_path):
@@ -243,17 +265,67 @@ def test_streams(spark, tmp_path):
     q = triage_stream(spark, str(src), (mail.ORG,)).select("source", "verdict").writeStream.format("memory").queryName("triaged").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.verdict for r in spark.table("triaged").collect()) == ["Benign", "Malicious"]
-    reqs = tmp_path / "reqs"
-    spark.createDataFrame([("a", k, float(k)) for k in range(4)], "client string, request long, at double").coalesce(1).write.parquet(str(reqs))
-    stream = spark.readStream.schema("client string, request long, at double").parquet(str(reqs))
-    q = state.rate_limit_stream(stream, 2, 60.0).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "c2")).start()
-    # Logs expire by processing time, so the query goes on without new rows: stop it once they are through.
-    for _ in range(60):
-        if spark.table("limited").count() == 4 or not q.isActive:
-            break
-        time.sleep(0.5)
-    q.stop()
-    assert sum(r.accepted for r in spark.table("limited").collect()) == 2
+
+
+def test_rate_limit_stream_on_event_time(spark, tmp_path):
+    """A backlog read at once, in two batches: the log holds as long as the requests' own times say."""
+    schema, reqs = "client string, request long, at double", tmp_path / "reqs"
+    for part in ([("a", k, k) for k in range(4)], [("a", 4, 59), ("a", 5, 61.5), ("b", 6, 2000)], [("a", 7, 1990)]):
+        spark.createDataFrame([(c, k, 1.7e9 + at) for c, k, at in part], schema).coalesce(1).write.mode("append").parquet(str(reqs))
+        q = state.rate_limit_stream(spark.readStream.schema(schema).parquet(str(reqs)), 2, 60.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(str(tmp_path / "out2"))
+        assert q.awaitTermination(120)
+    got = {r.request: r.accepted for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: True, 6: True, 7: True}
+
+
+def run(capsys, *argv):
+    from postern.__main__ import main
+
+    code = main(["analyze", *map(str, argv)])
+    return code, capsys.readouterr()
+
+
+@pytest.fixture
+def folder(tmp_path):
+    for name, raw in (("theft", mail.credential_theft()), ("clean", mail.message()), ("wire", mail.wire_fraud())):
+        (tmp_path / f"{name}.eml").write_bytes(raw)
+    return tmp_path
+
+
+def test_cli_exit_codes(spark, folder, capsys):
+    assert run(capsys, folder / "clean.eml", "-f", "summary")[0] == 0
+    assert run(capsys, folder / "theft.eml", "-f", "summary")[0] == 1
+    assert run(capsys, folder / "theft.eml", "-f", "summary", "--fail-on", "never")[0] == 0
+    assert run(capsys, folder / "wire.eml", "-q", "--fail-on", "malicious")[0] == 0
+    assert run(capsys, folder / "none.eml")[0] == 2
+
+
+def test_cli_json_reads_back(spark, folder, capsys):
+    one = json.loads(run(capsys, folder / "theft.eml", "-f", "json")[1].out)
+    assert one["verdict"]["label"] == "Malicious"
+    many = json.loads(run(capsys, folder, "-f", "json")[1].out)
+    assert [m["verdict"]["label"] for m in many] == ["Benign", "Malicious", "Likely Phishing"]
+    assert len(json.loads(run(capsys, folder, "-f", "summary")[1].out)) == 3
+    seen = json.loads(run(capsys, folder, "-f", "iocs")[1].out)
+    assert len(seen) == len({(i["type"], i["value"]) for i in seen}) > 3
+
+
+def test_cli_files(spark, folder, capsys):
+    code, said = run(capsys, folder, "-f", "json", "-o", folder / "deep" / "all.json")
+    assert code == 1 and said.out == "" and len(json.loads((folder / "deep" / "all.json").read_text(encoding="utf-8"))) == 3
+    run(capsys, folder / "theft.eml", "-f", "html", "-o", folder / "t.html")
+    assert "Malicious" in (folder / "t.html").read_text(encoding="utf-8")
+    run(capsys, folder, "-f", "html", "-o", folder / "pages")
+    assert sorted(p.name for p in (folder / "pages").iterdir()) == ["clean.report.html", "theft.report.html", "wire.report.html"]
+    text = run(capsys, folder)[1].out
+    assert text.count("/100") == 3 and text.rstrip().splitlines()[-1].split()[2] == "clean.eml"
+    assert run(capsys, folder, "-q")[1].out == ""
+
+
+def test_cli_names_failed_files(spark, folder, capsys, monkeypatch):
+    monkeypatch.setattr(report, "failures", lambda r: r.where("source LIKE '%clean%'").select("source", "ord", F.lit("ValueError: broken").alias("error")))
+    code, said = run(capsys, folder, "-f", "summary")
+    assert code == 1 and "failed to parse" in said.err and "clean.eml" in said.err
 
 
 def test_catalogue():
