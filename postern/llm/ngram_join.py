@@ -15,8 +15,8 @@ are all in one component is settled; pairs are only made of what is left, never
 `join` therefore has components but not all links; `links` gives every link between class representatives.
 
 Null or wordless text has no shingles and no links. Rows with a null doc_id get n_shingles and no
-component; rows of one doc_id are one document. An empty table gives an empty result. Extra
-columns are not read.
+component. Rows of one doc_id are one document: each of its texts is compared, and what any of them links
+to is linked to it. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -51,8 +51,12 @@ HUBS = 3
 LONG = 64
 #: Documents in a pack of prefixes, and prefix shingles for each hash shard.
 PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
+#: Times that the way from a hub to its root is doubled.
+JUMPS = 2
 #: Documents of one root, and bytes of how they differ from it, that are compared with each other or another block at once.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
+#: Documents that a task looks at together before it tells of its hubs and heads.
+LOCAL_DOCS = 100_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 2_000_000
 #: Verifying a candidate costs as much as reading this many postings.
@@ -172,6 +176,18 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return write_table(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(sign, "doc_id long, n long, set_hash binary, bands array<long>, prefix binary, place binary"), "signatures")
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """A task's rows, LOCAL_DOCS at most at once."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.append(row)
+            if len(rows) >= LOCAL_DOCS:
+                yield rows
+                rows = []
+    yield rows
+
+
 def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b: each document and the hubs of its buckets, HUBS at most; and doc_id, root: the hub over all tasks of a document's first hub.
 
@@ -181,24 +197,20 @@ def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fill: Counter = Counter()
-        seen: list[tuple[int, list[int]]] = []
-        for batch in batches:
-            for doc, bands in zip(batch.column("doc_id").to_pylist(), batch.column("bands").to_pylist(), strict=True):
-                seen.append((doc, bands))
-                fill.update(bands)
-        typical = {doc: sum(math.log2(fill[k]) for k in bands) for doc, bands in seen}
-        hub: dict[int, tuple[float, int]] = {}
-        for doc, bands in seen:
-            for k in bands:
-                hub[k] = min(hub.get(k, (0.5, 0)), (-typical[doc], doc))
-        out = []
-        for doc, bands in seen:
-            votes = Counter(hub[k][1] for k in bands if hub[k][1] != doc)
-            out += [(None, doc, to, None, k) for k, to in enumerate(sorted(votes, key=lambda d: (-votes[d], d))[:HUBS])]
-        out += [(k, doc, None, -t, fill[k]) for k, (t, doc) in hub.items()]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["bucket", "a", "b", "typical", "fill"])
+        for seen in _portions(batches):
+            fill = Counter(k for _, bands in seen for k in bands)
+            typical = {doc: sum(math.log2(fill[k]) for k in bands) for doc, bands in seen}
+            hub: dict[int, tuple[float, int]] = {}
+            for doc, bands in seen:
+                for k in bands:
+                    hub[k] = min(hub.get(k, (0.5, 0)), (-typical[doc], doc))
+            out = []
+            for doc, bands in seen:
+                votes = Counter(hub[k][1] for k in bands if hub[k][1] != doc)
+                out += [(None, doc, to, None, k) for k, to in enumerate(sorted(votes, key=lambda d: (-votes[d], d))[:HUBS])]
+            out += [(k, doc, None, -t, fill[k]) for k, (t, doc) in hub.items()]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate(kinds)], ["bucket", "a", "b", "typical", "fill"])
 
     found = write_table(reps.select("doc_id", "bands").mapInArrow(local, "bucket long, a long, b long, typical double, fill long"), "buckets")
     told = found.where("bucket is not null")
@@ -211,9 +223,16 @@ def _stars(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     across = votes.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", (-F.col("b")).alias("least"))), asc=False), 1, HUBS).alias("top")).select("a", F.posexplode("top").alias("k", "t")).select("a", (-F.col("t.least")).alias("b"), (F.col("k") == 0).alias("first"))
     across = write_table(across, "across")
     stars = found.where("bucket is null").select("a", "b").unionByName(across.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # A hub's first hub over all tasks is its root; a document's root is that of its first hub in its own task.
-    tops = across.where("first").select(F.col("a").alias("hub"), F.col("b").alias("top"))
+    # From a document to its first hub in its own portion, from hub to hub there, then over all tasks: each is more typical
+    # than the one before, and the last is the root.
     mine = found.where("bucket is null and fill = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"))
+    over = across.where("first").select(F.col("a").alias("hub"), F.col("b").alias("top"))
+    hubs = mine.select("hub").union(over.select("hub")).distinct()
+    tops = hubs.join(mine.select(F.col("doc_id").alias("hub"), F.col("hub").alias("near")), "hub", "left").join(over, "hub", "left").select("hub", F.coalesce("near", "top", "hub").alias("top"))
+    tops = write_table(tops, "tops")
+    for _ in range(JUMPS):
+        onward = tops.select(F.col("hub").alias("top"), F.col("top").alias("next"))
+        tops = write_table(tops.join(onward, "top", "left").select("hub", F.coalesce("next", "top").alias("top")), "tops")
     own = reps.select("doc_id").join(mine, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id"))
     return stars, own.join(tops, "hub", "left").select("doc_id", F.coalesce("top", "hub").alias("root"))
 
@@ -222,15 +241,13 @@ def _members(real: DataFrame) -> DataFrame:
     """doc_id, class_id: the smallest doc_id with the same shingles. A task finds its own smallest first, so copies are a row a task."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[bytes, int] = {}
-        seen: list[tuple[int, bytes]] = []
-        for batch in batches:
-            for doc, key in zip(batch.column("doc_id").to_pylist(), batch.column("set_hash").to_pylist(), strict=True):
-                seen.append((doc, key))
+        for seen in _portions(batches):
+            least: dict[bytes, int] = {}
+            for doc, key in seen:
                 if doc < least.get(key, doc + 1):
                     least[key] = doc
-        out = [(doc, least[key], None) for doc, key in seen] + [(None, doc, key) for key, doc in least.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "head", "set_hash"])
+            out = [(doc, least[key], None) for doc, key in seen] + [(None, doc, key) for key, doc in least.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "head", "set_hash"])
 
     found = write_table(real.select("doc_id", "set_hash").mapInArrow(local, "doc_id long, head long, set_hash binary"), "heads")
     heads = found.where("doc_id is null").select("head", "set_hash")
@@ -355,7 +372,9 @@ def _grouped_links(deltas: DataFrame, labels: DataFrame) -> DataFrame:
     rows = _labelled(deltas, labels)
     sizes = rows.groupBy("root").agg(F.count("*").alias("m"), F.sum(F.octet_length("delta") + 40).alias("bytes"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("bytes") / BLOCK_BYTES))
-    dealt = rows.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    sizes = write_table(sizes.select("root", blocks.alias("blocks")), "sizes")
+    small = F.broadcast if sizes.count() <= BROADCAST_IDS // 2 else (lambda df: df)
+    dealt = rows.join(small(sizes), "root").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = write_table(dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("*", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).drop("other", "blocks"), "blocks")
     packs = max(1, (dealt.count() + BLOCK_DOCS - 1) // BLOCK_DOCS)
 
@@ -677,11 +696,32 @@ def _chain_links(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return write_table(_verified(top.select("a", F.explode("top").alias("t")).select("a", (-F.col("t.least")).alias("b")), docs), "chains")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same shingles), component_id."""
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """All signatures; those with shingles, with a `node` each; the texts by node (as doc_id); and whether any node is not a doc_id.
+
+    A node is a doc_id with one set of shingles. Where rows of one doc_id have several, each of them is a node named by a
+    hash, so that every text is compared.
+    """
     signed = _signatures(docs)
     real = signed.where("doc_id is not null and n > 0")
-    # Rows of one doc_id are one document: links between the classes that it is in.
+    several = write_table(real.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low < high").select("doc_id"), "several")
+    if several.isEmpty():
+        return signed, real.withColumn("node", F.col("doc_id")), docs.select("doc_id", "text"), False
+    small = F.broadcast if several.count() <= BROADCAST_IDS else (lambda df: df)
+    name = F.xxhash64("doc_id", "set_hash")
+    nodes = real.join(small(several.withColumn("many", F.lit(True))), "doc_id", "left").withColumn("node", F.when(F.col("many"), name).otherwise(F.col("doc_id"))).drop("many")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(_sets(texts_of(batch.column("text")))[1], pa.binary())], ["doc_id", "text", "set_hash"])
+
+    apart = docs.select("doc_id", "text").join(small(several), "doc_id").mapInArrow(named, "doc_id long, text string, set_hash binary").select(name.alias("doc_id"), "text")
+    texts = docs.select("doc_id", "text").join(small(several), "doc_id", "left_anti").unionByName(write_table(apart, "apart"))
+    return signed, write_table(nodes, "nodes"), texts, True
+
+
+def _linked(real: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, class_id of every document with shingles; and a, b: links that join what links join."""
     member = _members(real)
     reps = real.join(member.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"])
     same = member.where("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
@@ -708,7 +748,23 @@ def join(docs: DataFrame) -> DataFrame:
         labels = connected(near)
         postings = _spanning_only(postings, labels)
     links = _verified(_candidates(postings), docs)
-    found = connected(near.unionByName(links).unionByName(same))
+    return member, near.unionByName(links).unionByName(same)
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same shingles), component_id."""
+    signed, nodes, texts, apart = _nodes(docs)
+    member, pairs = _linked(nodes.drop("doc_id").withColumnRenamed("node", "doc_id"), texts)
+    if apart:
+        names = write_table(nodes.select("node", "doc_id").distinct(), "names")
+        hashed = names.where("node <> doc_id")
+        found = connected(pairs.unionByName(hashed.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))))
+        least = found.join(hashed, "node", "left_anti").groupBy("component").agg(F.min("node").alias("least"))
+        found = found.join(least, "component").select("node", F.col("least").alias("component"))
+        member = member.withColumnRenamed("doc_id", "node").join(names, "node")
+        member = member.join(member.groupBy("class_id").agg(F.min("doc_id").alias("least")), "class_id").select("doc_id", F.col("least").alias("class_id"))
+    else:
+        found = connected(pairs)
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(member.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "doc_id", "left").join(found.withColumnsRenamed({"node": "doc_id", "component": "component_id"}), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
@@ -717,9 +773,10 @@ def links(docs: DataFrame) -> DataFrame:
 
     As many rows as there are similar pairs: a group of n near copies may have n (n - 1) / 2.
     """
-    real = _signatures(docs).where("doc_id is not null and n > 0")
-    heads = _members(real).select(F.col("class_id").alias("doc_id")).distinct()
-    reps = write_table(real.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
+    _, nodes, texts, apart = _nodes(docs)
+    real = nodes.drop("doc_id").withColumnRenamed("node", "doc_id")
+    member = _members(real)
+    reps = write_table(real.join(member.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
     # Each document is its own component, so no list is settled and no pair left out.
     alone = reps.select("doc_id", "n", "prefix", "place", F.col("doc_id").alias("component"))
     packs = write_table(_packs(alone), "packs")
@@ -728,13 +785,21 @@ def links(docs: DataFrame) -> DataFrame:
     answers = write_table(_lists(packs, n_shards).groupBy("shard").applyInArrow(_spanning, _TOLD), "spanning")
     postings = _postings(packs, answers, n_shards, max(1, reps.count())).withColumns({"component": F.col("doc_id"), "root": F.col("doc_id")})
     postings = write_table(postings.select(*_POSTED), "postings")
-    return _verified(_candidates(postings), docs)
+    pairs = _verified(_candidates(postings), texts)
+    if not apart:
+        return pairs
+    # A class is named by its smallest doc_id, whichever of its nodes was compared.
+    names = member.withColumnRenamed("doc_id", "node").join(nodes.select("node", "doc_id"), "node").groupBy("class_id").agg(F.min("doc_id").alias("name"))
+    for side in "ab":
+        pairs = pairs.join(names.withColumnRenamed("class_id", side), side).drop(side).withColumnRenamed("name", side)
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one of the smallest doc_id (one row, where rows repeat)."""
+    """One document of each component stays: the one of the smallest doc_id (where its rows repeat, the one of the smallest text)."""
     kept = join(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row"))
+    return rows.groupBy("doc_id").agg(F.min_by("row", "text").alias("row")).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def op4(docs: DataFrame) -> DataFrame:

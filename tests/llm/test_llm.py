@@ -249,6 +249,37 @@ def test_long_lists_and_short_lists_agree(spark):
     assert {g.doc_id: g.component_id for g in ngram_join.join(frame(spark, rows)).collect()} == want
 
 
+def test_rows_of_one_doc_id_link_by_every_text(spark, monkeypatch):
+    """Document 1 has two texts, 2 is near the first and 3 near the second; 9 has a text of 4's and one of its own."""
+    monkeypatch.setattr(ngram_join, "LOCAL_DOCS", 3)
+    text = lambda name, change=0: " ".join([f"{name}{k}" for k in range(60)] + [f"{name}x"] * bool(change))
+    rows = [(1, text("a"), "x"), (1, text("b"), "x"), (1, text("b"), "x"), (2, text("a", 1), "x"), (3, text("b", 1), "x"), (4, text("c"), "x"), (9, text("d"), "x"), (9, text("c"), "x"), (9, None, "x"), (5, text("e"), "x"), (None, text("e"), "x")]
+    got = {r.doc_id: (r.component_id, r.class_id) for r in ngram_join.join(frame(spark, rows)).collect() if r.doc_id is not None}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (4, 4), 9: (4, 4), 5: (5, 5)}
+    assert sorted(map(tuple, ngram_join.links(frame(spark, rows)).collect())) == [(1, 2), (1, 3)]
+    kept = ngram_join.deduplicate(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, text("e")), (1, text("a")), (4, text("c")), (5, text("e"))])
+
+
+def test_near_copies_below_the_threshold_leave_few_candidates(spark, monkeypatch):
+    """Five or six changed words of 400 are just too many for most pairs: what is verified must grow with the documents, not their pairs."""
+    for n in (100, 400):
+        r = random.Random(n)
+        rows = []
+        for k in range(n):
+            t = [f"b{j}" for j in range(400)]
+            for _ in range(r.choice([5, 6])):
+                t[r.randrange(400)] = f"e{r.randrange(10**6)}"
+            rows.append((k, " ".join(t), "x"))
+        count, real = [], ngram_join._verified
+        monkeypatch.setattr(ngram_join, "_verified", lambda pairs, docs, count=count, real=real: (count.append(pairs.count()), real(pairs, docs))[1])
+        got = {g.doc_id: g.component_id for g in ngram_join.join(frame(spark, rows)).collect()}
+        monkeypatch.setattr(ngram_join, "_verified", real)
+        assert got == brute_components(shingle_sets(rows))
+        # Hubs and chains are a few pairs a document at any size; the last step finds nothing left to do.
+        assert sum(count) < 8 * n and count[-1] < n, count
+
+
 @pytest.mark.parametrize("near", [60, 150])
 def test_links_within_components(spark, near):
     """All pairs of class representatives, in short lists and in long ones, against brute force."""
