@@ -29,12 +29,12 @@ from postern.llm.common import pack, texts_of, unpack, write_table
 from postern.llm.token_coder import decode, encode
 
 #: Ids that a record holds before it is closed (documents are never split between records).
-RECORD_IDS = 8 << 20
+RECORD_IDS = 6 << 20
 #: Text bytes of a file: a few records, whose blocks are coded side by side.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 24 << 20
 END_ID = 1
 #: White-space separated words, and pieces of words, whose ids a worker keeps before it starts anew, and the longest that it takes.
-CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 400_000, 400_000, 64
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 250_000, 250_000, 64
 BITS = 16
 
 # The vocabulary's split of a text into pieces, for plain ASCII in lower case and for any letters.
