@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from postern import catalog as cat
 from postern import intel
 from postern.functions import domains, scripts, text
 from postern.operators import parse, report, rules, scoring
+from postern.plans import judged
 from postern.plans import synthetic as syn
 from postern.plans.synthetic import pick, sql_pick, table
 from postern.streaming import state
@@ -184,8 +186,8 @@ def hashes(spark, sf):
 def invisible_chars(spark, sf):
     """Words broken by invisible characters: counts, and the text that rules read."""
     head = F.concat(F.lit("ur\u200bg\u00adent "), F.when(F.col("doc_id") % 2 == 0, "\u202eabc\u200b").otherwise("plain"))
-    found = text.find_invisible(F.concat(head, F.col("text")))
-    t = F.concat(head, F.left("text", F.lit(20)))  # as the SQL has it: `kept` is of the first characters only
+    t = F.concat(head, F.col("text"))
+    found = text.find_invisible(t)
     return table(spark, sf, "documents").select("doc_id", F.aggregate(found, F.lit(0), lambda s, x: s + x["count"]).cast("long").alias("total"), found[0]["codepoint"].alias("most"), F.length(text.strip_invisible(t)).cast("long").alias("kept"))
 
 
@@ -201,7 +203,7 @@ def source_labels(spark, sf):
 
 
 def address_domains(spark, sf):
-    a = pick(["Ann@Example.ORG", "no address", "x@a@b.example>", "", "tail@ Space.Example "], F.col("c_custkey"))
+    a = pick(_ADDRESSES, F.col("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey", domains.address_domain(a).alias("domain"))
 
 
@@ -260,22 +262,44 @@ _BRANDS_SQL = "(VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(intel
 
 
 def _lexicon_sql(name: str) -> str:
-    terms = ", ".join("'" + t.replace("'", "''") + "'" for t in intel.LEXICONS[name])
-    return f"array_to_string(list_sort(list_filter([{terms}], lambda t: regexp_matches(body, '(?i)(^|[^\\pL\\pN_])' || regexp_escape(t) || '($|[^\\pL\\pN_])'))), ',') AS {name}"
+    """The phrases that stand in `body` as words: found plainly first, then by their borders."""
+    quote = judged.quoted
+    border = lambda t: rf"(?i)(^|[^\pL\pN_]){re.sub(r'([^\w\s])', r'\\\1', t)}($|[^\pL\pN_])"
+    told = ", ".join(f"CASE WHEN contains(low, {quote(t)}) AND regexp_matches(body, {quote(border(t))}) THEN {quote(t)} END" for t in intel.LEXICONS[name])
+    return f"array_to_string(list_sort(list_filter([{told}], lambda t: t IS NOT NULL)), ',') AS {name}"
 
 
+_MARKS = "[" + ", ".join(f"chr({c})" for c in intel.INVISIBLE) + "]"
+_MARK_NAMES = "[" + ", ".join(f"'U+{c:04X}'" for c in intel.INVISIBLE) + "]"
+_ADDRESSES = ["Ann@Example.ORG", "no address", "x@a@b.example>", "", "tail@ Space.Example "]
 _LABELS = ["micros0ft", "paypa1", "netfliix", "amazom", "example", "googl", "dropbox", "linkedln", "faceb00k"]
 _MECH = ("spf", "dkim", "dmarc")
 _AUTH_RE = r"\b(spf|dkim|dmarc)\s*=\s*(pass|fail|softfail|neutral|none|temperror|permerror|policy|bestguesspass)"
 
 
+_HOSTS_SQL = r"WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages), s AS (SELECT *, string_split(host, '.') AS l FROM h)"
+_INERT_SQL = "replace(replace(replace(replace(v, 'https://', 'hxxps[://]'), 'http://', 'hxxp[://]'), '.', '[.]'), '@', '[@]')"
+
+
+def _iocs_sql() -> str:
+    """Observables of the synthesised mail: its one link, the link's domain, the sender's domain and the first relay's address."""
+    link = f"regexp_extract({sql_pick(syn.LINKS, 'floor(c_custkey / 2)')}, '(?:href|src)=\"([^\"]+)\"', 1)"
+    host = "regexp_extract(url, '://([^/]+)', 1)"
+    domain = f"CASE WHEN regexp_full_match({host}, '[0-9.]+') THEN '' ELSE regexp_extract({host}, '([^.]+\\.[^.]+)$', 1) END"
+    rows = f"[{{'k': 1, 'type': 'url', 'v': url}}, {{'k': 2, 'type': 'domain', 'v': {domain}}}, {{'k': 3, 'type': 'sender-domain', 'v': {sql_pick(syn.SENDERS, 'c_custkey')}}}, {{'k': 4, 'type': 'ip-src', 'v': '192.0.2.1'}}]"
+    return f"WITH m AS (SELECT c_custkey, {link} AS url FROM customer), i AS (SELECT 'customer-' || c_custkey AS source, c_custkey AS ord, unnest({rows}, recursive := true) FROM m), p AS (SELECT source, ord, type, {_INERT_SQL} AS value, CAST(row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS INT) AS pos FROM i WHERE v <> '')"
+
+
+_IOCS_SQL = _iocs_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (score_verdict, explain_lines, attack_techniques, verdict_counts, ranked_top, findings_by_category, catalogue, catalogue_stats, hop_delay, url_parts, host_abuse, defang, defang_prose, email_iocs, ipv4_iocs, html_text, lookalike, brand_substring, path_terms, lexicon_hits, auth_worst, part_similarity, attachment_class, hashes, invisible_chars, script_classes, source_labels, address_domains, offered_load, rate_limit, html_facts, full_triage, triage_iocs, merged_iocs, summary_report, json_report)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | judged.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return judged.oracle_sql() | {
         "score_verdict": f"WITH {_SCORED_SQL} SELECT msg_id, score, verdict, raw_weight, discount, n_categories, authentication_clean, finding_count, critical_floor_applied FROM r",
         "explain_lines": f"WITH {_SCORED_SQL} SELECT msg_id, verdict || ' - score ' || score || '/100 (' || finding_count || ' indicator(s) across ' || n_categories || ' category(ies); weight ' || raw_weight || CASE WHEN [0, 0, 3, 8, 14, 20][n_categories + 1] > 0 THEN '; +' || [0, 0, 3, 8, 14, 20][n_categories + 1] || ' corroboration' ELSE '' END || CASE WHEN discount <> 0 THEN '; -' || discount || ' discounted (sender authenticated cleanly)' ELSE '' END || CASE WHEN critical_floor_applied THEN '; floored by a critical indicator' ELSE '' END || ')' AS line FROM r",
         "attack_techniques": f"WITH {_SCORED_SQL}, a AS (SELECT DISTINCT msg_id, unnest(attack) AS t FROM j) SELECT m.msg_id, coalesce(string_agg(t, ',' ORDER BY t), '') AS techniques FROM m LEFT JOIN a USING (msg_id) GROUP BY 1",
@@ -285,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
         "catalogue": f"SELECT id, category, severity, severity_rank, weight, array_to_string(attack, ',') AS attack FROM {_CATALOG_SQL}",
         "catalogue_stats": f"SELECT category, count(*) AS rules, CAST(sum(weight) AS BIGINT) AS weight, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS critical FROM {_CATALOG_SQL} GROUP BY 1",
         "hop_delay": f"WITH e AS (SELECT user_id, row_number() OVER w AS hop, epoch_us(ts) - lead(epoch_us(ts)) OVER w AS delay_us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) SELECT user_id, count(*) AS hops, CAST(sum(delay_us) AS BIGINT) AS total_us, min(hop) FILTER (delay_us > {intel.MAX_HOP_SECONDS * 1000000}) AS first_odd FROM e GROUP BY 1",
-        "url_parts": r"WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages), s AS (SELECT *, string_split(host, '.') AS l FROM h) SELECT page_id, host, array_to_string(l[1 : len(l) - 2], '.') AS subdomain, l[len(l) - 1] AS label, l[len(l)] AS suffix, l[len(l) - 1] || '.' || l[len(l)] AS registered_domain FROM s",
+        "url_parts": _HOSTS_SQL + r" SELECT page_id, host, array_to_string(l[1 : len(l) - 2], '.') AS subdomain, l[len(l) - 1] AS label, l[len(l)] AS suffix, l[len(l) - 1] || '.' || l[len(l)] AS registered_domain FROM s",
         "defang": r"WITH p AS (SELECT page_id, url, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages) SELECT page_id, replace(replace(regexp_replace(regexp_replace(url, '(?i)https://', 'hxxps[://]', 'g'), '(?i)http://', 'hxxp[://]', 'g'), '.', '[.]'), '@', '[@]') AS inert, url AS live, replace('a.b', '.', '.') || '[@]' || replace(host, '.', '[.]') AS email FROM p",
         "email_iocs": r"WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\pM\pN_.!#$%&''*+/=?^`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS v FROM documents) SELECT lower(v) AS value, count(*) AS n, min(doc_id) AS first_doc FROM h GROUP BY 1",
         "ipv4_iocs": r"WITH h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS ip FROM documents) SELECT ip, regexp_full_match(ip, '(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}') AS valid, replace(ip, '.', '[.]') AS inert, min(doc_id) AS first_doc, count(*) AS docs FROM h GROUP BY ip",
@@ -293,13 +317,16 @@ def oracle_sql() -> dict[str, str]:
         "lookalike": f"WITH l AS (SELECT c_custkey, {sql_pick(_LABELS, 'c_custkey')} || CASE WHEN c_custkey % 7 = 0 THEN 'x' ELSE '' END AS label FROM customer), d AS (SELECT l.*, levenshtein(label, b.target) AS d, b.ord, b.brand FROM l, (VALUES {', '.join(f'({k}, {chr(39)}{n}{chr(39)}, {chr(39)}{t}{chr(39)})' for k, n, t in _NEAR)}) AS b(ord, brand, target)), n AS (SELECT c_custkey, min(d * 100 + ord) AS best FROM d WHERE d BETWEEN 1 AND 2 GROUP BY 1) SELECT l.c_custkey, label, CAST(coalesce(best // 100, 0) AS INT) AS distance, coalesce((SELECT brand FROM {_BRANDS_SQL} WHERE b.ord = best % 100), '') AS brand FROM l LEFT JOIN n USING (c_custkey)",
         "brand_substring": f"WITH s AS (SELECT s_suppkey, {sql_pick(_NAMES, 's_suppkey')} AS display FROM supplier) SELECT s_suppkey, display, (SELECT arg_min(brand, ord) FROM {_BRANDS_SQL} WHERE contains(lower(display), brand)) AS brand FROM s",
         "path_terms": f"SELECT o_orderkey, array_to_string(list_sort(list_filter([{_q(intel.CREDENTIAL_PATH_TERMS)}], lambda t: list_contains(regexp_split_to_array(lower({sql_pick(_PATHS, 'o_orderkey')}), '[^a-z0-9]+'), t))), ',') AS terms FROM orders",
-        "lexicon_hits": f"WITH d AS (SELECT doc_id, {sql_pick(syn.PHRASES, 'doc_id')} || ' ' || lang || ' ' || {sql_pick(syn.PHRASES, 'floor(doc_id / 3)')} || ' ' || left(text, 40) AS body FROM documents) SELECT doc_id, {', '.join(_lexicon_sql(n) for n in ('urgency', 'credentials', 'financial', 'threat', 'secrecy', 'salutation'))} FROM d",
+        "lexicon_hits": f"WITH d AS (SELECT doc_id, concat_ws(' ', {sql_pick(syn.PHRASES, 'doc_id')}, lang, {sql_pick(syn.PHRASES, 'floor(doc_id / 3)')}, text) AS body FROM documents), l AS (SELECT *, lower(body) AS low FROM d) SELECT doc_id, {', '.join(_lexicon_sql(n) for n in ('urgency', 'credentials', 'financial', 'threat', 'secrecy', 'salutation'))} FROM l",
         "auth_worst": f"WITH o AS (SELECT o_orderkey, {sql_pick(syn.AUTH, 'floor(o_orderkey / 2)')} AS a FROM orders), m AS (SELECT a, regexp_extract_all(a, '{_AUTH_RE}', 1) AS ms, regexp_extract_all(a, '{_AUTH_RE}', 2) AS rs FROM (SELECT DISTINCT a FROM o)), u AS (SELECT a, ms[k] AS m, rs[k] AS r, k FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m)), w AS (SELECT a, m, arg_max(r, CASE r {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in intel.AUTH_RANK.items())} END * 1000 - k) AS r FROM u GROUP BY 1, 2) SELECT o_orderkey, {', '.join(f'(SELECT r FROM w WHERE w.a = o.a AND w.m = {chr(39)}{m}{chr(39)}) AS {m}' for m in _MECH)} FROM o",
         "part_similarity": f"WITH t AS (SELECT conv_id, turn, lower(left(text, {intel.SIMILARITY_CHARS})) AS t FROM conversations), c AS (SELECT conv_id, turn, ch, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(t, '')) AS ch FROM t) GROUP BY ALL), s AS (SELECT a.conv_id, a.turn, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.ch = b.ch GROUP BY 1, 2) SELECT x.conv_id, x.turn, CAST(round(CASE WHEN length(x.t) + length(y.t) = 0 THEN 1.0 ELSE 2.0 * coalesce(shared, 0) / (length(x.t) + length(y.t)) END::DOUBLE * 1000) AS BIGINT) AS per_mille FROM t x JOIN t y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 LEFT JOIN s ON s.conv_id = x.conv_id AND s.turn = x.turn",
         "attachment_class": f"WITH p AS (SELECT p_partkey, p_name || '.' || {sql_pick(syn.ENDINGS, 'p_partkey')} AS name, {sql_pick(syn.MIMES, 'floor(p_partkey / 3)')} AS declared FROM part), e AS (SELECT *, lower(regexp_extract(name, '\\.([A-Za-z0-9]{{1,8}})$', 1)) AS ext, lower(regexp_extract(name, '\\.([A-Za-z0-9]{{1,8}})\\s*\\.([A-Za-z0-9]{{1,8}})$', 1)) AS decoy FROM p) SELECT p_partkey, ext, {_RULES_SQL} AS rule, CASE WHEN decoy IN ({_q(intel.DECOY)}) AND ext IN ({_q(intel.EXECUTABLE + intel.SCRIPT)}) THEN ext END AS runs_as, declared <> 'application/octet-stream' AND ({_MIME_SQL}) AS mismatch FROM e",
         "hashes": "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, CAST(strlen(text) AS BIGINT) AS size FROM documents",
-        "invisible_chars": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 2 END AS BIGINT) AS total, CASE WHEN doc_id % 2 = 0 THEN 'U+200B' ELSE 'U+200B' END AS most, length('urgent ' || CASE WHEN doc_id % 2 = 0 THEN 'abc' ELSE 'plain' END || left(text, 20)) AS kept FROM documents",
-        "source_labels": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'message.eml' ELSE left(p_name || '.eml', 120) END AS label FROM part",
-        "address_domains": f"WITH a AS (SELECT c_custkey, {sql_pick(['example.org', '', 'b.example', '', 'space.example'], 'c_custkey')} AS domain FROM customer) SELECT * FROM a",
+        "invisible_chars": f"WITH d AS (SELECT doc_id, 'ur' || chr(8203) || 'g' || chr(173) || 'ent ' || CASE WHEN doc_id % 2 = 0 THEN chr(8238) || 'abc' || chr(8203) ELSE 'plain' END || text AS t FROM documents), c AS (SELECT doc_id, t, list_transform({_MARKS}, lambda m: length(t) - length(replace(t, m, ''))) AS n FROM d) SELECT doc_id, CAST(list_sum(n) AS BIGINT) AS total, {_MARK_NAMES}[list_position(n, list_max(n))] AS most, length(list_reduce(list_prepend(t, {_MARKS}), lambda x, m: replace(x, m, ''))) AS kept FROM c",
+        "source_labels": r"""WITH n AS (SELECT p_partkey, 'C:\mail\<' || p_name || '>?/' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name || '|.eml' END AS name FROM part), b AS (SELECT p_partkey, trim(regexp_replace(regexp_extract(name, '([^/\\]*)$', 1), '[<>:"|?*[:cntrl:]]', '', 'g')) AS base FROM n) SELECT p_partkey, CASE WHEN base = '' THEN 'message.eml' ELSE left(base, 120) END AS label FROM b""",
+        "address_domains": f"WITH a AS (SELECT c_custkey, {sql_pick(_ADDRESSES, 'c_custkey')} AS a FROM customer) SELECT c_custkey, CASE WHEN contains(a, '@') THEN lower(rtrim(trim(list_last(string_split(a, '@'))), '>')) ELSE '' END AS domain FROM a",
+        "host_abuse": _HOSTS_SQL + f", u AS (SELECT page_id, l[len(l)] AS suffix, l[len(l) - 1] || '.' || l[len(l)] AS registered, array_to_string(l[1 : len(l) - 2], '.') AS subdomain FROM s) SELECT page_id, suffix IN ({_q(intel.HIGH_ABUSE_TLDS)}) AS abuse_tld, registered IN ({_q(intel.URL_SHORTENERS)}) AS shortener, coalesce((SELECT arg_min(brand, ord) FROM {_BRANDS_SQL} WHERE contains(subdomain, brand)), '') AS brand FROM u",
+        "triage_iocs": f"{_IOCS_SQL} SELECT source, type, value, pos FROM p",
+        "merged_iocs": f"{_IOCS_SQL}, g AS (SELECT type, value, min(ord * 100 + pos) AS first FROM p GROUP BY 1, 2) SELECT type, value, row_number() OVER (PARTITION BY type ORDER BY first, value) AS n FROM g",
         "offered_load": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS load FROM events",
     }

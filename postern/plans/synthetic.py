@@ -34,14 +34,21 @@ def message_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 8).cast("string").alias("msg_id")).distinct()
 
 
+#: What an event says of its message: an indicator, or (two times of three) nothing.
+SAID = IDS + [""] * (2 * len(IDS))
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """msg_id, indicator_id: some of a message's events are findings; every tenth message has none."""
+    """msg_id, indicator_id: what a message's events say; some messages' say nothing."""
     k = F.col("event_id")
-    return table(spark, sf_dir, "events").where((k * 7 % 11 < 4) & (F.floor(k / 8) % 10 != 0)).select(F.floor(k / 8).cast("string").alias("msg_id"), pick(IDS, F.floor(k * 5 / 3)).alias("indicator_id")).distinct()
+    said = table(spark, sf_dir, "events").select(F.floor(k / 8).cast("string").alias("msg_id"), pick(SAID, F.floor(k * 5 / 3)).alias("indicator_id"))
+    return said.where("indicator_id <> ''").distinct()
 
 
 MESSAGES_SQL = "SELECT DISTINCT CAST(event_id // 8 AS VARCHAR) AS msg_id FROM events"
-FINDINGS_SQL = f"SELECT DISTINCT CAST(event_id // 8 AS VARCHAR) AS msg_id, {sql_pick(IDS, 'floor(event_id * 5 / 3)')} AS indicator_id FROM events WHERE event_id * 7 % 11 < 4 AND (event_id // 8) % 10 <> 0"
+FINDINGS_SQL = f"SELECT DISTINCT * FROM (SELECT CAST(event_id // 8 AS VARCHAR) AS msg_id, {sql_pick(SAID, 'floor(event_id * 5 / 3)')} AS indicator_id FROM events) WHERE indicator_id <> ''"
+SENDERS = ["example.org", "micros0ft.tk", "gmail.com", "mail.example.co.uk", "paypa1-secure.xyz"]
+LINKS = ['<a href="https://login.paypal.com.evil.top/login/verify?next=https://x.example">paypal.com</a>', '<a href="http://192.0.2.9/account/update">here</a>', '<a href="https://bit.ly/x">more</a>', '<a href="https://example.org/news">news</a>', '<img src="https://cdn.example.com/a.png">']
 
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +57,9 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     crlf = "\r\n"
     day = F.format_string("%02d", k % 28 + 1)
-    domain = pick(["example.org", "micros0ft.tk", "gmail.com", "mail.example.co.uk", "paypa1-secure.xyz"], k)
+    domain = pick(SENDERS, k)
     name = pick(["Ann Example", "Microsoft Support", "Pat Boss CFO", "DHL Billing", "help@bank.com desk"], k / 3)
-    link = pick(['<a href="https://login.paypal.com.evil.top/login/verify?next=https://x.example">paypal.com</a>', '<a href="http://192.0.2.9/account/update">here</a>', '<a href="https://bit.ly/x">more</a>', '<a href="https://example.org/news">news</a>', '<img src="https://cdn.example.com/a.png">'], k / 2)
+    link = pick(LINKS, k / 2)
     body = F.concat(F.lit("<html><body><p>"), pick(PHRASES, k), F.lit(". "), pick(PHRASES, k / 5), F.lit("</p>"), link, F.lit('<div style="display:none">hidden words that only a filter would ever read here</div>'), F.lit("</body></html>"))
     head = F.concat_ws(
         crlf,
