@@ -452,12 +452,56 @@ def test_warc(spark):
     assert rows[1, "metadata"].refers_to == rows[1, "conversion"].refers_to != rows[2, "conversion"].refers_to
     data = b"".join(bytes(r.record) for r in warc.serialised(records.where("page_id = 1")).orderBy("warc_type").collect())
     found = list(warc.parse(data))
-    assert [h["warc-type"] for h, _ in found] == ["conversion", "metadata"] and found[0][1].decode() == rows[1, "conversion"].block
+    assert [h["warc-type"] for h, _, _ in found] == ["conversion", "metadata"] and found[0][1].decode() == rows[1, "conversion"].block
     assert found[0][0]["warc-block-digest"] == "sha256:" + hashlib.sha256(found[0][1]).hexdigest()
-    files = spark.createDataFrame([("f", bytearray(data))], "path string, content binary")
+    files = spark.createDataFrame([("f", bytearray(data)), ("none", None)], "path string, content binary")
     assert warc.read_records(files).count() == 2 and warc.op8(pages.limit(0)).count() == 0
 
 
+def source_record(name, head, body, digest=""):
+    block = ("\r\n".join(["HTTP/1.1 200 OK", *head]) + "\r\n\r\n").encode("latin-1") + body
+    fields = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Target-URI: http://{name}.example/", "WARC-Date: 2025-02-03T04:05:06Z", *([f"WARC-Payload-Digest: {digest}"] if digest else []), f"Content-Length: {len(block)}"]
+    return "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_read_derive_write_read(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "BATCH_BYTES", 2000)
+    long = ("<p>" + "word " * 200_000 + "</p>").encode()
+    sources = [source_record("a", ["Content-Type: text/html", "X-Note: one", "x-note: two", "Server: s\u00e9"], "<title>Tä</title><p>é</p>".encode(), "sha1:ORIGINAL"), source_record("b", [], b"<p>\xff broken \r\n\r\n bytes</p>"), source_record("c", ["Content-Type: text/html"], long), source_record("d", [], b"")]
+    request = sources[0].replace(b"WARC-Type: response", b"WARC-Type: request")
+    files = spark.createDataFrame([("one.gz", bytearray(b"".join(map(gzip.compress, sources[:3])))), ("two", bytearray(request + sources[3]))], "path string, content binary")
+    records = warc.derive(warc.converted(warc.read_records(files))).cache()
+    rows = {(r.refers_to[10:-1], r.warc_type): r for r in records.collect()}
+    assert len(rows) == records.count() == 8
+    a = rows["a", "metadata"]
+    assert (a.target_uri, a.date, a.source_digest, a.source_type) == ("http://a.example/", "2025-02-03T04:05:06Z", "sha1:ORIGINAL", "text/html")
+    assert a.source_headers == {"content-type": "text/html", "server": "s\u00e9", "x-note": "one, two"}
+    assert a.block.split("\r\n") == ["title: Tä", "outlinks: 0", "source-content-type: text/html", "source-server: s\u00e9", "source-x-note: one, two", "source-payload-digest: sha1:ORIGINAL", ""]
+    assert rows["b", "conversion"].source_digest == "sha256:" + hashlib.sha256(b"<p>\xff broken \r\n\r\n bytes</p>").hexdigest()
+    assert "broken" in rows["b", "conversion"].block and len(rows["c", "conversion"].block) == 999_999 and rows["d", "conversion"].block == ""
+    told = warc.write(records.repartition(2), f"file://{tmp_path}/out").collect()
+    assert sum(t.n_records for t in told) == 8 and sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(t.file.rsplit("/", 1)[1] for t in told)
+    again = warc.read_records(spark.read.format("binaryFile").load(f"{tmp_path}/out")).collect()
+    assert {(r.headers["warc-record-id"], bytes(r.block).decode(), r.headers["warc-refers-to"], r.headers["warc-block-digest"], r.headers["x-source-content-type"]) for r in again} == {(r.record_id, r.block, r.refers_to, r.block_digest, r.source_type) for r in rows.values()}
+    assert len(again) == 8 and all(r.error is None for r in again)
+
+
+def test_warc_damaged_records_are_rows(spark):
+    good = source_record("a", [], b"x")
+    import gzip
+
+    cases = {"head": (good + good[:40], [None, "truncated header"]), "block": (good[:-8], ["truncated block"]), "length": (good.replace(b"Content-Length: ", b"Content-Length: x") + good, ["bad Content-Length", None]), "gzip": (gzip.compress(good) + gzip.compress(good)[:-9], [None, None, "truncated gzip"]), "noise": (gzip.compress(good) + b"noise", [None, "damaged gzip"]), "empty": (b"", [])}
+    files = spark.createDataFrame([(k, bytearray(v[0])) for k, v in cases.items()], "path string, content binary")
+    got = collections.defaultdict(list)
+    for r in warc.read_records(files).collect():
+        got[r.path].append(r.error)
+    for name, (_, want) in cases.items():
+        assert len(got[name]) == len(want) and all(e is None if w is None else e.startswith(w) for e, w in zip(got[name], want, strict=True)), (name, got[name])
+    assert warc.derive(warc.converted(warc.read_records(files))).count() == 2 * sum(w is None for _, ws in cases.values() for w in ws)
+
+
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline
 
