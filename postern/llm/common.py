@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests, a single machine)."""
+    """The cluster's shared folder; one of our own only where none is named and one machine runs everything (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="postern-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
