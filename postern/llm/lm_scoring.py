@@ -6,7 +6,9 @@ count them by history word and tell the words' shards. An n-gram of count c
 is put into its shard's Bloom filter once for each of the levels 1..q(c), q logarithmic. A count is
 read back by probing level 1, 2, ... until one is absent, so estimates never fall below the level
 that was stored. Word counts, continuation counts and word-pair counts are all kept so, and
-Witten-Bell smoothing turns them into probabilities.
+Witten-Bell smoothing turns them into probabilities. What they are divided by is summed from the levels where
+they are stored (a history's pairs, and all words), so that over the vocabulary and one unseen word the
+probabilities of a history add up to one, but for the filter's false positives.
 
 The filter takes BITS_PER_ENTRY bits for each entry. Up to `broadcast_bytes` it is broadcast; a larger
 one stays in its shards, which answer the probes of every chunk in place with the same bits, so both ways
@@ -191,8 +193,8 @@ def _counted(chunks: DataFrame, n_shards: int, kind: int, all_pairs: bool = Fals
     return chunks.mapInArrow(rows, "shard int, chunk long, payload binary")
 
 
-_REPLY = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
-_REPLY_SQL = "kind int, shard int, chunk long, payload binary, distinct long, total long"
+_REPLY = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64()), ("mass", pa.float64())])
+_REPLY_SQL = "kind int, shard int, chunk long, payload binary, distinct long, total long, mass double"
 
 
 def _told(got: pa.Table) -> list[tuple[int, list[memoryview]]]:
@@ -201,14 +203,15 @@ def _told(got: pa.Table) -> list[tuple[int, list[memoryview]]]:
 
 def _reply(kind: int, number: int, made: Filter, count: np.ndarray, out: list[tuple[int, bytes]]) -> pa.Table:
     n = len(out)
-    stats = int((count > 0).sum()), int(count.sum())
-    return pa.Table.from_arrays([pa.array([kind] * (n + 1), pa.int32()), pa.array([number] * (n + 1), pa.int32()), pa.array([*(c for c, _ in out), None], pa.int64()), pa.array([*(p for _, p in out), made.bits.tobytes()], pa.binary()), pa.array([None] * n + [stats[0]], pa.int64()), pa.array([None] * n + [stats[1]], pa.int64())], schema=_REPLY)
+    stats = int((count > 0).sum()), int(count.sum()), float(VALUES[level_of(count)].sum())
+    return pa.Table.from_arrays([pa.array([kind] * (n + 1), pa.int32()), pa.array([number] * (n + 1), pa.int32()), pa.array([*(c for c, _ in out), None], pa.int64()), pa.array([*(p for _, p in out), made.bits.tobytes()], pa.binary()), pa.array([None] * n + [stats[0]], pa.int64()), pa.array([None] * n + [stats[1]], pa.int64()), pa.array([None] * n + [stats[2]], pa.float64())], schema=_REPLY)
 
 
 def _pairs_answered(counted: DataFrame, n_shards: int, answer: bool) -> DataFrame:
     """A pair shard sums what the chunks told it and builds its filter; on request it answers each chunk with its pairs' levels.
 
-    Rows of kind CONT tell a word shard how many distinct training pairs of this shard begin with each of its words.
+    Rows of kind CONT tell a word shard how many distinct training pairs of this shard begin with each of its words, and
+    what their stored levels stand for together.
     """
 
     def shard(key: tuple, got: pa.Table) -> pa.Table:
@@ -223,13 +226,14 @@ def _pairs_answered(counted: DataFrame, n_shards: int, answer: bool) -> DataFram
             levels = made.levels(keys, np.zeros(len(keys), np.int64)).astype(np.uint8)[where]
             cuts = np.cumsum([0, *map(len, every)])
             out = [(c, pack([levels[a:b]])) for (c, _), a, b in zip(told, cuts, cuts[1:], strict=False)]
-        words, types = np.unique(history[count > 0], return_counts=True)
+        words, which, types = np.unique(history[count > 0], return_inverse=True, return_counts=True)
+        mass = np.bincount(which, VALUES[level_of(count[count > 0])], minlength=len(words))
         to = (words % np.uint64(n_shards)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
         own = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True)]
         n = len(own)
-        conts = pa.Table.from_arrays([pa.array([CONT] * n, pa.int32()), pa.array([int(to[x[0]]) for x in own], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([pack([words[x], types[x].astype(np.uint32)]) for x in own], pa.binary()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64())], schema=_REPLY)
+        conts = pa.Table.from_arrays([pa.array([CONT] * n, pa.int32()), pa.array([int(to[x[0]]) for x in own], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([pack([words[x], types[x].astype(np.uint32), mass[x]]) for x in own], pa.binary()), *(pa.array([None] * n, t) for t in (pa.int64(), pa.int64(), pa.float64()))], schema=_REPLY)
         return pa.concat_tables([_reply(PAIR, number, made, count, out), conts])
 
     return counted.groupBy("shard").applyInArrow(shard, _REPLY_SQL)
@@ -247,19 +251,21 @@ def _words_answered(counted: DataFrame, conts: DataFrame) -> DataFrame:
         known: dict[bytes, int] = defaultdict()
         known.default_factory = known.__len__
         where = [np.fromiter(map(known.__getitem__, bytes(x[0]).split(b" ")), np.int64) for _, x in told]
-        count, cont, keys = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64), np.zeros(len(known), np.uint64)
+        count, cont, mass, keys = (np.zeros(len(known), t) for t in (np.int64, np.int64, np.float64, np.uint64))
         for at, (_, x) in zip(where, told, strict=True):
             count[at] += np.frombuffer(x[1], np.uint32)
             keys[at] = np.frombuffer(x[2], np.uint64)
         order = np.argsort(keys)
         for payload in right.column("payload").to_pylist():
-            words, types = unpack(payload)
+            words, types, part = unpack(payload)
             # Each word's hash comes once from a pair shard, and from one of its own chunks.
-            cont[order[np.searchsorted(keys, np.frombuffer(words, np.uint64), sorter=order)]] += np.frombuffer(types, np.uint32)
+            at = order[np.searchsorted(keys, np.frombuffer(words, np.uint64), sorter=order)]
+            cont[at] += np.frombuffer(types, np.uint32)
+            mass[at] += np.frombuffer(part, np.float64)
         made = Filter.build(np.concatenate([keys, keys ^ _CONT]), level_of(np.concatenate([count, cont])))
         zero = np.zeros(len(keys), np.int64)
         levels, types = made.levels(keys, zero).astype(np.uint8), made.levels(keys ^ _CONT, zero).astype(np.uint8)
-        return _reply(WORD, number, made, count, [(c, pack([count[at], levels[at], types[at]])) for at, (c, _) in zip(where, told, strict=True)])
+        return _reply(WORD, number, made, count, [(c, pack([count[at], levels[at], types[at], mass[at].astype(np.float32)])) for at, (c, _) in zip(where, told, strict=True)])
 
     return counted.groupBy("shard").cogroup(conts.groupBy("shard")).applyInArrow(shard, _REPLY_SQL)
 
@@ -285,9 +291,9 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     conts = pairs.where(F.col("kind") == CONT).select("shard", "payload")
     answers = write_table(_words_answered(_counted(chunks, n_shards, WORD), conts), "words")
     filters = answers.unionByName(pairs.where(F.col("kind") == PAIR)).where("chunk is null")
-    sums = filters.groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum(F.length("payload")).alias("bytes")).collect()
+    sums = filters.groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum("mass").alias("mass"), F.sum(F.length("payload")).alias("bytes")).collect()
     by = {r["kind"]: r for r in sums}
-    v, n = (by[WORD]["v"], by[WORD]["n"]) if WORD in by else (0, 0)
+    v, n, mass = (by[WORD]["v"], by[WORD]["n"], by[WORD]["mass"]) if WORD in by else (0, 0, 0.0)
     shared = None
     if PAIR not in by or by[PAIR]["bytes"] <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(_gather(pairs.where(F.col("kind") == PAIR).select("shard", "payload"), n_shards))
@@ -297,7 +303,7 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     answers = answers.where("chunk is not null").select("chunk", "kind", "shard", "payload")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = [_scored(Chunk(blob, n_shards), right, shared.value if shared else None, v, n) for blob in left.column("blob").to_pylist()]
+        tables = [_scored(Chunk(blob, n_shards), right, shared.value if shared else None, v, n, mass) for blob in left.column("blob").to_pylist()]
         return pa.concat_tables(tables) if tables else _SCORE.empty_table()
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
@@ -306,8 +312,8 @@ def score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
 _SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n: int) -> pa.Table:
-    count, level, cont = np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens), np.int64), np.zeros(len(c.tokens), np.int64)
+def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n: int, mass: float) -> pa.Table:
+    count, level, cont, told = (np.zeros(len(c.tokens), t) for t in (np.int64, np.int64, np.int64, np.float64))
     order = np.argsort(c.word_shard, kind="stable")
     edges = np.searchsorted(c.word_shard[order], np.arange(int(c.word_shard.max()) + 2))
     pair_levels = None
@@ -318,7 +324,7 @@ def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n:
         parts = unpack(payload)
         if kind == WORD:
             own = order[edges[shard] : edges[shard + 1]]
-            count[own], level[own], cont[own] = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], np.uint8)
+            count[own], level[own], cont[own], told[own] = (np.frombuffer(x, t) for x, t in zip(parts, (np.int64, np.uint8, np.uint8, np.float32), strict=True))
         elif pair_levels is not None:
             at = np.flatnonzero(c.pair_shard == shard)
             pair_levels[at] = np.frombuffer(parts[0], np.uint8)[np.searchsorted(places[shard], c.pair_key[at])]
@@ -334,8 +340,9 @@ def _scored(c: Chunk, answers: pa.Table, pair_filter: Filter | None, v: int, n:
     base = np.log10((count + 0.5) / whole)[cur]
     seen, types = VALUES[level], VALUES[cont]
     pair = np.minimum(VALUES[pair_levels], seen[cur])
-    p0 = (seen[cur] + 0.5) / whole
-    history = np.maximum(seen[prev], pair)
+    # Both denominators are sums of what the levels stand for, so that each history's probabilities add up to one.
+    p0 = (seen[cur] + 0.5) / (mass + 0.5 * (v + 1))
+    history = told[prev]
     with np.errstate(divide="ignore", invalid="ignore"):
         p = np.where(history > 0, (pair + (types[prev] + 1) * p0) / (history + types[prev] + 1), p0)
     starts = c.ends - c.sizes - 1

@@ -77,15 +77,20 @@ def test_lm_scores_count_each_continuation_once(spark, monkeypatch, bound):
             pair.update(zip(ts, ts[1:], strict=False))
             for a, b in zip(ts, ts[1:], strict=False):
                 after[a].add(b)
-    n, v = sum(count.values()), len(count)
+    v = len(count)
     value = lambda c: lm_scoring.VALUES[lm_scoring.level_of(np.array([c]))[0]]
-    want = {}
-    for d, x, _ in rows:
-        ts, want[d] = [b"\t", *tokens(x)], 0.0
-        for a, b in zip(ts, ts[1:], strict=False):
-            p0, types, both = (value(count[b]) + 0.5) / (n + 0.5 * (v + 1)), value(len(after[a])), min(value(pair[a, b]), value(count[b]))
-            history = max(value(count[a]), both)
-            want[d] += math.log10((both + (types + 1) * p0) / (history + types + 1) if history else p0)
+    whole = sum(map(value, count.values())) + 0.5 * (v + 1)
+    mass = collections.Counter()
+    for (a, b), c in pair.items():
+        mass[a] += value(c)
+
+    def probability(a, b):
+        p0 = (value(count[b]) + 0.5) / whole
+        return (min(value(pair[a, b]), value(count[b])) + (value(len(after[a])) + 1) * p0) / (mass[a] + value(len(after[a])) + 1) if mass[a] else p0
+
+    for a in [b"\t", b"w1", b"the", b"not there"]:
+        assert math.isclose(sum(probability(a, b) for b in [*count, b"unseen"]), 1, rel_tol=1e-9)
+    want = {d: sum(math.log10(probability(a, b)) for ts in [[b"\t", *tokens(x)]] for a, b in zip(ts, ts[1:], strict=False)) for d, x, _ in rows}
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 50_000)
     one, many = ({r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(rows, SCHEMA).repartition(parts), bound).collect()} for parts in (1, 12))
     assert all(math.isclose(one[d], many[d], rel_tol=1e-12) for d in want)
