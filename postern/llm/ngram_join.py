@@ -55,6 +55,8 @@ PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
 JUMPS = 2
 #: Documents of one root, and bytes of how they differ from it, that are compared with each other or another block at once.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
+#: Documents that a comparing task has on average, where their groups are smaller.
+GROUP_DOCS = 256
 #: Documents that a task looks at together before it tells of its hubs and heads.
 LOCAL_DOCS = 100_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
@@ -376,7 +378,7 @@ def _grouped_links(deltas: DataFrame, labels: DataFrame) -> DataFrame:
     small = F.broadcast if sizes.count() <= BROADCAST_IDS // 2 else (lambda df: df)
     dealt = rows.join(small(sizes), "root").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = write_table(dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("*", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).drop("other", "blocks"), "blocks")
-    packs = max(1, (dealt.count() + BLOCK_DOCS - 1) // BLOCK_DOCS)
+    packs = 1 + dealt.count() // GROUP_DOCS
 
     def link(key: tuple, got: pa.Table) -> pa.Table:
         columns = [got.column(c).to_numpy() for c in ("root", "i", "j", "doc_id", "component", "n", "gone", "whole", "side")]

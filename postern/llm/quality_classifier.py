@@ -7,7 +7,8 @@ difference of the two log densities (from the Mahalanobis distances by cached Ch
 the log prior ratio.
 
 Null text is empty; its statistics are all those of an empty text. Repeated rows get the same score
-each. Rows with a null doc_id or label are not learned from and are scored as held out. Without
+each; a doc_id with labels of both classes counts as class 0, and each row of a doc_id is learned from.
+Rows with a null doc_id or label are not learned from and are scored as held out. Without
 learnable rows of both classes, every score is the share of class 1 (0.5 without any). An empty table
 gives an empty result. Extra columns are not read.
 """
@@ -31,6 +32,8 @@ from postern.llm.quality_rules import repeated_lines, repeated_words
 #: Shares of the pooled covariance and of its diagonal.
 POOL, DIAGONAL = 0.2, 0.1
 PREDICT_AT = 0.3
+#: Labels of twelve bytes each that are broadcast.
+BROADCAST_LABELS = 1_000_000
 _DIGITS, _UPPER, _MARKS, _ODD = b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b".,;:!?'\"()-", b"#*$%&|<>@{}[]\\^~_=+/"
 FEATURES = ("log_words", "log_word_length", "digits", "upper", "marks", "odd", "beyond_ascii", "distinct", "top_word", "repeated", "dup_lines", "log_line", "log_lines", "entropy")
 
@@ -69,9 +72,13 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, pool: float = POOL, diagonal: float = DIAGONAL) -> Model:
     d = len(FEATURES)
-    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    joined = docs.select("doc_id", F.col("text")).mapInArrow(_features, _FEATURES_SQL).join(known, "doc_id").select("quality", "x")
+    learnable = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    known = labels.where("quality in (0, 1) and doc_id is not null").where(learnable).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    texts = docs.select("doc_id", "text").where(learnable)
+    # Few labels go to the texts, so that only labelled ones are measured; many are met by the measures, which are smaller than texts.
+    if known.count() <= BROADCAST_LABELS:
+        texts, known = texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), F.broadcast(known)
+    joined = texts.mapInArrow(_features, _FEATURES_SQL).join(known, "doc_id").select("quality", "x")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, d + 1, d + 1))

@@ -344,6 +344,28 @@ def test_quality_classifier_on_held_out_rows(spark):
     assert {g.score for g in none} == {1.0} and quality_classifier.op6(empty(spark), labels).count() == 0
 
 
+def test_quality_classifier_equals_brute_force(spark, monkeypatch):
+    """The discriminant worked out from all learnable rows at once; ties, repeats and a very long text among them."""
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choice(["alpha", "beta,", "### ", "9", "Tä"][: 3 + k % 3]) for _ in range(r.randint(0, 120))) + "\n" * (k % 4), "x") for k in range(120)] + [(5, "a repeated id", "x"), (200, "long " * 50_000, "x"), (201, None, "x")]
+    marks = {k: int(r.random() < 0.3 + 0.4 * (k % 3 == 2)) for k in range(0, 201, 2)} | {5: 1, 201: 0}
+    labels = spark.createDataFrame([*marks.items(), (5, 0), (7, None), (None, 1), (4, marks[4])], "doc_id long, quality int")
+    marks[5] = 0
+    data = [(marks[d], quality_classifier.statistics((x or "").encode())) for d, x, _ in rows if d in marks and not quality_classifier.in_fold(d)]
+    x, y = np.array([v for _, v in data]), np.array([m for m, _ in data])
+    own = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * own[k] for k in (0, 1))
+    density = []
+    for k in (0, 1):
+        c = 0.9 * (0.8 * own[k] + 0.2 * pooled) + 0.1 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(x.shape[1])
+        density.append(lambda v, k=k, c=c: math.log((y == k).mean()) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (v - x[y == k].mean(0)) @ np.linalg.solve(c, v - x[y == k].mean(0)))
+    want = sorted((d, 1 / (1 + math.exp(-max(-60, min(60, density[1](v) - density[0](v)))))) for d, t, _ in rows for v in [np.array(quality_classifier.statistics((t or "").encode()))])
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(quality_classifier, "BROADCAST_LABELS", most)
+        got = sorted((g.doc_id, g.score) for g in quality_classifier.op6(frame(spark, rows), labels).collect())
+        assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], rtol=1e-4, atol=1e-6)
+
+
 def test_quality_rules(spark):
     docs, labels = labelled(spark)
     model = quality_rules.fit(docs, labels)
