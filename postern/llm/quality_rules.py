@@ -46,10 +46,11 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 
 def features(text: bytes, words: list[bytes]) -> list[np.ndarray]:
-    """Hashed slots of words, word pairs and byte trigrams, one array a kind (each kind has the weight of one)."""
+    """Hashed slots of words, word pairs and character trigrams, one array a kind (each kind has the weight of one)."""
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    tri = b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]
+    # Plain ASCII is a byte a character; other texts are spread to four, so that no letter is split.
+    b = (np.frombuffer(text, np.uint8) if text.isascii() else np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)).astype(np.uint64)
+    tri = b[:-2] << np.uint64(42) | b[1:-1] << np.uint64(21) | b[2:]
     return [_scramble(h + np.uint64(1 << 40)), _scramble(h[:-1] * np.uint64(31) + h[1:] + np.uint64(1 << 41)), _scramble(tri + np.uint64(1 << 42))]
 
 
