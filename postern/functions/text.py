@@ -10,8 +10,27 @@ from pyspark.sql import functions as F
 from postern import intel
 
 
+def sql_literal(value) -> str:
+    """A value as Spark SQL writes it: a large table of fixed values is one expression to parse, not a call for each value."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in value.items()) + ")"
+    return f"cast(array({', '.join(map(sql_literal, value))}) as array<string>)" if isinstance(value, list | tuple) else str(value)
+
+
 def lit_array(values) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    """Strings, or dicts as structs."""
+    return F.expr(f"array({', '.join(map(sql_literal, values))})")
+
+
+def lit_map(values: dict) -> Column:
+    return F.expr("map(" + ", ".join(f"{sql_literal(k)}, {sql_literal(v)}" for k, v in values.items()) + ")")
+
+
+def within(column: Column, values) -> Column:
+    """Whether a column's value is one of many fixed ones."""
+    return F.array_contains(lit_array(values), column)
 
 
 def defang_url(url: Column) -> Column:

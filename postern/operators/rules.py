@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from postern import intel
 from postern.catalog import INDICATORS
 from postern.functions import domains
-from postern.functions.text import collapse, extension, find_invisible, html_to_text, lexicon_hits, lit_array, path_tokens, strip_invisible
+from postern.functions.text import collapse, extension, find_invisible, html_to_text, lexicon_hits, lit_array, lit_map, path_tokens, strip_invisible, within
 
 FINDING = "struct<indicator_id:string,evidence:string,detail:string>"
 _BRANDS = [(k, name, list(ds), [r for d in ds if (r := domains.registered_domain(d, domains.load_rules()))]) for k, (name, ds) in enumerate(intel.BRANDS.items())]
@@ -52,16 +52,31 @@ def same_org(a: Column, b: Column) -> Column:
 
 
 def brands() -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("ord"), F.lit(n).alias("name"), lit_array(ds).alias("domains"), lit_array(rs).cast("array<string>").alias("registered")) for k, n, ds, rs in _BRANDS))
+    return lit_array([{"ord": k, "name": n, "domains": ds, "registered": rs} for k, n, ds, rs in _BRANDS])
 
 
 class Org:
-    """The organisation's own domains, as given and as registered."""
+    """The organisation's own domains, as given and as registered; and what its rules work out once for several findings."""
 
     def __init__(self, own: tuple[str, ...] = ()) -> None:
+        self.held: dict[str, Column] = {}
+        self.later: dict[str, Column] = {}
         self.given = [d.lower() for d in own]
         self.registered = [r for d in self.given if (r := domains.registered_domain(d, domains.load_rules()))]
 
+    def once(self, name: str, column: Column, of_held: bool = False) -> Column:
+        """A column to stand in for an expression that findings use many times over: plans stay small, and it is worked out once.
+
+        of_held: the expression uses columns that stand in for others.
+        """
+        (self.later if of_held else self.held)[f"_held_{name}"] = column
+        return F.col(f"_held_{name}")
+
+    def holding(self, df: DataFrame) -> DataFrame:
+        """The rows with all that `once` was told."""
+        df = df.withColumns(self.held) if self.held else df
+        return df.withColumns(self.later) if self.later else df
+
     def owns(self, registered: Column) -> Column:
         return registered.isin(self.registered) if self.registered else F.lit(False)
 
@@ -126,17 +141,17 @@ def headers(org: Org) -> list[Column]:
     o, sender, address, display = F.col("org"), F.col("from_domain"), F.col("from_address"), F.col("from_display")
     named = (display != "") & (sender != "")
     reply = o["reply_domain"]
-    embedded = first_of(o["embedded"], lambda e: (e["address"] != address) & ~same_org(e["registered"], o["sender"]))
-    brand = first_of(brands(), lambda b: F.contains(F.lower(display), b["name"]))
+    embedded = org.once("embedded", first_of(o["embedded"], lambda e: (e["address"] != address) & ~same_org(e["registered"], o["sender"])))
+    brand = org.once("display_brand", first_of(brands(), lambda b: F.contains(F.lower(display), b["name"])))
     owned = F.array_contains(brand["domains"], o["sender"]) | F.array_contains(brand["registered"], o["sender"]) | org.owns(o["sender"])
     role = F.regexp_extract(F.lower(display), intel.ROLE, 0)
     mid, mid_domain = F.col("message_id"), o["message_id_domain"]
-    mailer = first_of(F.array(*(F.struct(F.lit(n).alias("n"), header(n).alias("v")) for n in ("x-mailer", "user-agent", "x-php-originating-script"))), lambda h: h["v"].rlike(intel.BULK_MAILER))
+    mailer = org.once("mailer", first_of(F.array(*(F.struct(F.lit(n).alias("n"), header(n).alias("v")) for n in ("x-mailer", "user-agent", "x-php-originating-script"))), lambda h: h["v"].rlike(intel.BULK_MAILER)))
     hops = F.col("hops")
-    odd = first_of(hops, lambda h: (h["delay_seconds"] < -60) | (h["delay_seconds"] > intel.MAX_HOP_SECONDS))
+    odd = org.once("odd_hop", first_of(hops, lambda h: (h["delay_seconds"] < -60) | (h["delay_seconds"] > intel.MAX_HOP_SECONDS)))
     late = odd["delay_seconds"]
     told = F.when(late < -60, say("Hop {} is timestamped {}s *before* the hop that preceded it", odd["index"], F.format_string("%d", F.bround(F.abs(late), 0).cast("long")))).otherwise(say("Hop {} sat for {}h before the next relay", odd["index"], F.format_string("%.1f", late / 3600)))
-    newest = first_of(hops, lambda h: h["epoch"].isNotNull())
+    newest = org.once("newest_hop", first_of(hops, lambda h: h["epoch"].isNotNull()))
     skew = F.abs(F.col("date_epoch") - newest["epoch"])
     visible = F.array_union(F.col("to"), F.col("cc"))
     delivered = F.when(header("delivered-to") != "", header("delivered-to")).otherwise(header("x-original-to"))
@@ -145,7 +160,7 @@ def headers(org: Org) -> list[Column]:
     banner = subject.rlike(intel.EXTERNAL_BANNER) & F.lit(bool(org.given)) & ~org.owns(o["sender"])
     orphan = subject.rlike(intel.REPLY_PREFIX) & (header("in-reply-to") == "") & (header("references") == "")
     return [
-        finding("HDR-001", (sender != "") & (reply != "") & ~same_org(o["reply"], o["sender"]), say("From: {} but Reply-To: {}", address, F.col("reply_to")), from_domain=sender, reply_to_domain=reply, reply_to_is_freemail=reply.isin(intel.FREEMAIL_DOMAINS), reply_to_is_disposable=reply.isin(intel.DISPOSABLE_DOMAINS)),
+        finding("HDR-001", (sender != "") & (reply != "") & ~same_org(o["reply"], o["sender"]), say("From: {} but Reply-To: {}", address, F.col("reply_to")), from_domain=sender, reply_to_domain=reply, reply_to_is_freemail=within(reply, intel.FREEMAIL_DOMAINS), reply_to_is_disposable=within(reply, intel.DISPOSABLE_DOMAINS)),
         finding("HDR-002", (sender != "") & (F.col("return_path") != "") & ~same_org(o["return_path"], o["sender"]), say("Return-Path domain {} != From domain {}", F.col("return_path"), sender), return_path_domain=F.col("return_path"), from_domain=sender),
         finding("HDR-003", named & embedded.isNotNull(), say('Display name reads "{}" but the real sender is {}', display, address), display_name=display, embedded_address=embedded["address"], actual_address=address),
         finding("HDR-004", named & brand.isNotNull() & ~owned, say('Display name claims "{}" but the message was sent from {}', display, o["sender"]), display_name=display, claimed_brand=brand["name"], sender_domain=o["sender"], legitimate_domains=brand["domains"]),
@@ -156,7 +171,7 @@ def headers(org: Org) -> list[Column]:
         finding("HDR-009", (F.col("date_header") != "") & (skew > intel.MAX_SKEW_SECONDS), say("Date: header is {}h from the delivering hop's timestamp", F.format_string("%.1f", skew / 3600)), date_header=F.col("date_header"), delivery_time=newest["iso"], skew_seconds=skew),
         finding("HDR-010", F.size(hops) <= 1, say("Received chain contains {} hop(s)", F.size(hops)), hop_count=F.size(hops)),
         F.coalesce(finding("HDR-011", F.lit(bool(org.given)) & (F.size(visible) == 0), F.lit("Message has no To or Cc recipients at all")), finding("HDR-011", F.lit(bool(org.given)) & (F.size(visible) > 0) & ~inside & (delivered != ""), say("Delivered to {} which appears in neither To nor Cc", delivered), delivered_to=delivered, to=F.col("to"), cc=F.col("cc"))),
-        finding("HDR-012", named & o["sender"].isin(intel.FREEMAIL_DOMAINS) & (role != ""), say('Display name asserts "{}" from freemail account {}', role, address), display_name=display, role_claimed=role, freemail_domain=o["sender"]),
+        finding("HDR-012", named & within(o["sender"], intel.FREEMAIL_DOMAINS) & (role != ""), say('Display name asserts "{}" from freemail account {}', role, address), display_name=display, role_claimed=role, freemail_domain=o["sender"]),
         F.coalesce(finding("HDR-013", (subject != "") & banner, say('Subject carries an external-sender banner from outside the org: "{}"', F.left(subject, F.lit(100))), subject=F.left(subject, F.lit(200))), finding("HDR-013", (subject != "") & orphan, say('Subject "{}" implies a reply, but there is no In-Reply-To or References header', F.left(subject, F.lit(80))), subject=F.left(subject, F.lit(200)))),
     ]
 
@@ -166,8 +181,9 @@ def headers(org: Org) -> list[Column]:
 
 def lookalike(label: Column) -> Column:
     """struct<distance, ord, brand, canonical>: the nearest brand within two edits but not equal, the first of equals."""
-    near = [(k, n, ds[0]) for k, n, ds, _ in _BRANDS if len(ds[0].split(".")[0]) >= intel.LOOKALIKE_LENGTH]
-    every = F.array(*(F.struct(F.levenshtein(label, F.lit(d.split(".")[0]), intel.LOOKALIKE_DISTANCE).alias("distance"), F.lit(k).alias("ord"), F.lit(n).alias("brand"), F.lit(d).alias("canonical")) for k, n, d in near))
+    near = [{"ord": k, "brand": n, "canonical": ds[0], "core": ds[0].split(".")[0]} for k, n, ds, _ in _BRANDS]
+    targets = lit_array([x for x in near if len(x["core"]) >= intel.LOOKALIKE_LENGTH])
+    every = F.transform(targets, lambda t: F.struct(F.levenshtein(label, t["core"], intel.LOOKALIKE_DISTANCE).alias("distance"), t["ord"].alias("ord"), t["brand"].alias("brand"), t["canonical"].alias("canonical")))
     return F.array_min(F.filter(every, lambda x: x["distance"].between(1, intel.LOOKALIKE_DISTANCE)))
 
 
@@ -181,26 +197,26 @@ def credential_terms(path: Column) -> Column:
 
 def urls(org: Org) -> list[Column]:
     every = F.col("urls")
-    legit = lambda u: u["registered_domain"].isin(*intel.LEGITIMATE_DOMAINS) | org.owns(u["registered_domain"])
-    hit = lambda p: first_of(every, p)
+    legit = lambda u: within(u["registered_domain"], intel.LEGITIMATE_DOMAINS) | org.owns(u["registered_domain"])
+    hit = lambda name, p: org.once(name, first_of(every, p))
     dots = lambda s: F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))
-    anchor = hit(lambda u: (u["source"] == "html-anchor") & (u["anchor_text"] != "") & (u["registered_domain"] != "") & (u["claimed_suffix"] != "") & (u["claimed_domain"] != "") & (u["claimed_domain"] != u["registered_domain"]))
-    puny = hit(lambda u: F.contains(u["host"], F.lit("xn--")))
-    mixed = hit(lambda u: u["mixed"] & (F.size(u["confusables"]) > 0))
-    like = hit(lambda u: (u["registered_domain"] != "") & ~legit(u) & lookalike(u["label"]).isNotNull())
-    near = lookalike(like["label"])
-    ip = hit(lambda u: u["is_ip"])
-    short = hit(lambda u: u["registered_domain"].isin(*intel.URL_SHORTENERS))
-    tld = hit(lambda u: F.substring_index(u["suffix"], ".", -1).isin(*intel.HIGH_ABUSE_TLDS))
+    anchor = hit("url_anchor", lambda u: (u["source"] == "html-anchor") & (u["anchor_text"] != "") & (u["registered_domain"] != "") & (u["claimed_suffix"] != "") & (u["claimed_domain"] != "") & (u["claimed_domain"] != u["registered_domain"]))
+    puny = hit("url_puny", lambda u: F.contains(u["host"], F.lit("xn--")))
+    mixed = hit("url_mixed", lambda u: u["mixed"] & (F.size(u["confusables"]) > 0))
+    like = hit("url_like", lambda u: (u["registered_domain"] != "") & ~legit(u) & lookalike(u["label"]).isNotNull())
+    near = org.once("near_brand", lookalike(like["label"]), True)
+    ip = hit("url_ip", lambda u: u["is_ip"])
+    short = hit("url_short", lambda u: within(u["registered_domain"], intel.URL_SHORTENERS))
+    tld = hit("url_tld", lambda u: within(F.substring_index(u["suffix"], ".", -1), intel.HIGH_ABUSE_TLDS))
     ending = F.substring_index(tld["suffix"], ".", -1)
-    cred = hit(lambda u: ~legit(u) & (F.size(credential_terms(u["path"])) >= 2))
-    terms = credential_terms(cred["path"])
-    redirect = hit(lambda u: u["redirect_key"].isNotNull())
-    deep = hit(lambda u: (u["subdomain"] != "") & ~legit(u) & (brand_in(u["subdomain"]).isNotNull() | (dots(u["subdomain"]) >= 3)))
-    brand = brand_in(deep["subdomain"])
-    plain = hit(lambda u: (u["scheme"] == "http") & ~u["is_ip"] & (F.size(credential_terms(u["path"])) > 0))
-    inline = hit(lambda u: u["scheme"].isin("data", "javascript", "vbscript"))
-    user = hit(lambda u: F.contains(u["authority"], F.lit("@")))
+    cred = hit("url_cred", lambda u: ~legit(u) & (F.size(credential_terms(u["path"])) >= 2))
+    terms = org.once("path_terms", credential_terms(cred["path"]), True)
+    redirect = hit("url_redirect", lambda u: u["redirect_key"].isNotNull())
+    deep = hit("url_deep", lambda u: (u["subdomain"] != "") & ~legit(u) & (brand_in(u["subdomain"]).isNotNull() | (dots(u["subdomain"]) >= 3)))
+    brand = org.once("subdomain_brand", brand_in(deep["subdomain"]), True)
+    plain = hit("url_plain", lambda u: (u["scheme"] == "http") & ~u["is_ip"] & (F.size(credential_terms(u["path"])) > 0))
+    inline = hit("url_inline", lambda u: u["scheme"].isin("data", "javascript", "vbscript"))
+    user = hit("url_user", lambda u: F.contains(u["authority"], F.lit("@")))
     real = F.substring_index(user["authority"], "@", -1)
     decoy = F.left(user["authority"], F.length(user["authority"]) - F.length(real) - 1)
     whose = F.transform(F.slice(mixed["confusables"], 1, 3), lambda c: F.concat(F.lit("'"), c["char"], F.lit("' ("), c["name"], F.lit(", "), c["script"], F.lit(")")))
@@ -228,43 +244,43 @@ def attachment_class(ext: Column) -> Column:
     """struct<rule, label> of the first class that holds the extension, NULL for none."""
     out = F.lit(None).cast("struct<rule:string,label:string>")
     for rule, label, extensions in reversed(intel.CLASSES):
-        out = F.when(ext.isin(*extensions), F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("label"))).otherwise(out)
+        out = F.when(within(ext, extensions), F.struct(F.lit(rule).alias("rule"), F.lit(label).alias("label"))).otherwise(out)
     return out
 
 
 def double_extension(name: Column) -> Column:
     """struct<decoy, real> where a harmless extension stands before one that runs, else NULL."""
     decoy, real = (F.lower(F.regexp_extract(name, intel.DOUBLE_EXTENSION, g)) for g in (1, 2))
-    return F.when(decoy.isin(*intel.DECOY) & real.isin(*intel.EXECUTABLE, *intel.SCRIPT), F.struct(decoy.alias("decoy"), real.alias("real")))
+    return F.when(within(decoy, intel.DECOY) & within(real, [*intel.EXECUTABLE, *intel.SCRIPT]), F.struct(decoy.alias("decoy"), real.alias("real")))
 
 
 def mime_mismatch(ext: Column, declared: Column) -> Column:
     """The expected types where the declared one is another (and says anything at all), else NULL."""
-    expected = F.try_element_at(F.create_map(*(x for e, ts in intel.EXPECTED_MIME.items() for x in (F.lit(e), lit_array(ts)))), ext)
+    expected = F.try_element_at(lit_map({e: list(ts) for e, ts in intel.EXPECTED_MIME.items()}), ext)
     return F.when((declared != "") & (declared != "application/octet-stream") & ~F.array_contains(expected, declared), expected)
 
 
 def attachments(org: Org) -> list[Column]:
     every = F.col("attachments")
-    hits = lexicon_hits("archive_password", F.concat_ws("\n", "body_text", "subject"))
-    hit = lambda p: first_of(every, p)
+    hits = org.once("password_phrases", lexicon_hits("archive_password", F.concat_ws("\n", "body_text", "subject")))
+    hit = lambda name, p: org.once(name, first_of(every, p))
     ext = lambda a: extension(a["filename"])
     sums = lambda a: {"sha256": a["sha256"], "md5": a["md5"]}
-    rtlo = hit(lambda a: F.contains(a["filename"], F.lit(intel.RTLO)))
+    rtlo = hit("file_rtlo", lambda a: F.contains(a["filename"], F.lit(intel.RTLO)))
     shown = F.replace(rtlo["filename"], F.lit(intel.RTLO), F.lit(""))
     turned = extension(F.reverse(shown))
-    twice = hit(lambda a: double_extension(a["filename"]).isNotNull())
-    both = double_extension(twice["filename"])
-    wrong = hit(lambda a: mime_mismatch(ext(a), a["content_type"]).isNotNull())
-    expected = mime_mismatch(ext(wrong), wrong["content_type"])
-    locked = hit(lambda a: ext(a).isin(*intel.ARCHIVE))
+    twice = hit("file_twice", lambda a: double_extension(a["filename"]).isNotNull())
+    both = org.once("both_extensions", double_extension(twice["filename"]), True)
+    wrong = hit("file_wrong", lambda a: mime_mismatch(ext(a), a["content_type"]).isNotNull())
+    expected = org.once("expected_types", mime_mismatch(ext(wrong), wrong["content_type"]), True)
+    locked = hit("file_locked", lambda a: within(ext(a), intel.ARCHIVE))
     out = [
         finding("ATT-008", rtlo.isNotNull(), say("Filename contains U+202E; it displays as one thing and is another: '{}'", F.replace(rtlo["filename"], F.lit(intel.RTLO), F.lit("\\u202e"))), filename=rtlo["filename"], filename_without_rtlo=shown, real_extension=F.when(turned != "", turned).otherwise(extension(shown)), **sums(rtlo)),
         finding("ATT-002", twice.isNotNull(), say('"{}" presents as .{} but is a .{}', twice["filename"], both["decoy"], both["real"]), filename=twice["filename"], decoy_extension=both["decoy"], real_extension=both["real"], **sums(twice)),
         finding("ATT-005", wrong.isNotNull(), say('"{}" declares Content-Type {}, but .{} should be {}', wrong["filename"], wrong["content_type"], ext(wrong), expected[0]), filename=wrong["filename"], declared=wrong["content_type"], expected=expected, **sums(wrong)),
         finding("ATT-006", locked.isNotNull() & (F.size(hits) > 0), say('Archive "{}" arrives with password wording in the body: {}', locked["filename"], F.array_join(F.slice(hits, 1, 3), ", ")), filename=locked["filename"], password_phrases=hits, **sums(locked)),
     ]
-    of_class = lambda rule: hit(lambda a: attachment_class(ext(a))["rule"] == rule)
+    of_class = lambda rule: hit(f"file_{rule[-3:]}", lambda a: attachment_class(ext(a))["rule"] == rule)
     for rule, label, _ in intel.CLASSES:
         a = of_class(rule)
         out.append(finding(rule, a.isNotNull(), say('"{}" is a {} (.{}, {} bytes)', a["filename"], F.lit(label), ext(a), F.format_number(a["size"], 0)), filename=a["filename"], extension=ext(a), size=a["size"], content_type=a["content_type"], **sums(a)))
@@ -280,16 +296,16 @@ def content(org: Org) -> list[Column]:
     quoted = lambda h: F.when(F.contains(h, F.lit("'")), F.concat(F.lit('"'), h, F.lit('"'))).otherwise(F.concat(F.lit("'"), h, F.lit("'")))
     out = []
     for name, rule, label, least in (("urgency", "CNT-001", "Urgency wording", 1), ("credentials", "CNT-002", "Credential-request wording", 1), ("financial", "CNT-003", "Financial-instruction wording", 2), ("threat", "CNT-010", "Consequence wording", 1), ("secrecy", "CNT-012", "Secrecy or process-bypass wording", 1), ("salutation", "CNT-009", "Generic salutation", 1)):
-        hits = lexicon_hits(name, body)
+        hits = org.once(f"{name}_phrases", lexicon_hits(name, body))
         out.append(finding(rule, F.size(hits) >= least, say("{}: {}", F.lit(label), F.array_join(F.transform(F.slice(hits, 1, 4), quoted), ", ")), phrases=hits, phrase_count=F.size(hits)))
-    odd = find_invisible(raw)
+    odd = org.once("invisible", find_invisible(raw))
     total = F.aggregate(odd, F.lit(0), lambda s, x: s + x["count"])
     hidden = F.aggregate(facts["hidden_text"], F.lit(0), lambda s, t: s + F.length(t))
     sensitive = F.filter(facts["input_types"], lambda t: t.rlike(intel.SENSITIVE_INPUT))
     left, right = F.lower(collapse(F.col("body_text"))), F.lower(html)
     alike = F.col("part_similarity")
-    flat = collapse(body)
-    trigger = F.regexp_extract(flat, "(?i)" + intel.SOLICITATION, 0)
+    flat = org.once("flat_body", collapse(body))
+    trigger = org.once("solicitation", F.regexp_extract(flat, "(?i)" + intel.SOLICITATION, 0), True)
     return [
         *out,
         finding("CNT-005", total >= 5, say("{} invisible characters in the body ({})", total, F.array_join(F.transform(F.slice(odd, 1, 3), lambda x: F.concat(x["name"], F.lit(" x"), x["count"].cast("string"))), ", ")), total=total, characters=odd),
@@ -329,10 +345,10 @@ def findings(parsed: DataFrame, org_domains: tuple[str, ...] = (), dns_txt: Data
     plain = F.lower(collapse(F.col("body_text")))
     base = base.withColumn("part_similarity", F.when((F.length(plain) >= 80) & (F.length("html_as_text") >= 80), similarity(plain, F.lower("html_as_text"))))
     made = {name: F.array_compact(F.array(*(c.cast(FINDING) for c in f(org)))) for name, f in (analyzers or ANALYZERS).items()}
-    for name, column in made.items():
-        base = base.withColumn(f"found_{name}", column)
-    order = F.create_map(*(x for i, _, _, s, w, _, _ in INDICATORS for x in (F.lit(i), F.lit(f"{4 - intel.SEVERITY_RANK[s]}{40 - w:02d}{i}"))))
+    base = org.holding(base)
+    base = base.withColumns({f"found_{name}": column for name, column in made.items()})
+    order = lit_map({i: f"{4 - intel.SEVERITY_RANK[s]}{40 - w:02d}{i}" for i, _, _, s, w, _, _ in INDICATORS})
     every = F.concat(*(F.col(f"found_{name}") for name in made), dns_findings())
     ranked = F.array_sort(F.transform(every, lambda f, k: F.struct(F.coalesce(F.try_element_at(order, f["indicator_id"]), F.lit("9")).alias("o"), k.alias("k"), f.alias("f"))))
     out = base.withColumn("findings", F.transform(ranked, lambda r: r["f"]))
-    return out.drop(*(f"found_{name}" for name in made), "raw_body", "body", "html_as_text", "dns", "part_similarity")
+    return out.drop(*(f"found_{name}" for name in made), *org.held, *org.later, "raw_body", "body", "html_as_text", "dns", "part_similarity")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postern import intel
 from postern.catalog import INDICATORS, catalog
+from postern.functions.text import lit_map
 
 
 def verdict_of(score: Column) -> Column:
@@ -40,7 +41,7 @@ def _judged(raw: Column, discount: Column, categories: Column, clean: Column, co
 
 def score_rows(found: DataFrame) -> DataFrame:
     """Adds score, verdict, breakdown and attack_techniques to rows with a `findings` array; no shuffle."""
-    info = F.create_map(*(x for i, _, c, s, w, _, a in INDICATORS for x in (F.lit(i), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(w).alias("weight"), F.array(*(F.lit(t) for t in a)).cast("array<string>").alias("attack")))))
+    info = lit_map({i: {"category": c, "severity": s, "weight": w, "attack": list(a)} for i, _, c, s, w, _, a in INDICATORS})
     known = F.transform("findings", lambda f: F.struct(f["indicator_id"].alias("id"), F.element_at(info, f["indicator_id"]).alias("i")))
     found = found.withColumn("_known", known)
     every = F.col("_known")
@@ -85,7 +86,7 @@ def ranked(reports: DataFrame) -> DataFrame:
 
 def grouped(reports: DataFrame) -> DataFrame:
     """source, category, findings: a message's findings by category, in the order in which categories first appear."""
-    info = F.create_map(*(x for i, _, c, _, _, _, _ in INDICATORS for x in (F.lit(i), F.lit(c))))
+    info = lit_map({i: c for i, _, c, _, _, _, _ in INDICATORS})
     flat = reports.select("source", F.posexplode("findings").alias("pos", "f")).withColumn("category", F.element_at(info, F.col("f.indicator_id")))
     return flat.groupBy("source", "category").agg(F.min("pos").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("findings")).withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("first"))).drop("first")
 

@@ -240,11 +240,11 @@ def full_triage(spark, sf):
 
 
 def triage_iocs(spark, sf):
-    return report.iocs(_reports(spark, sf)).select("source", "type", "value", "pos")
+    return report.iocs(parse.parse(syn.mail(spark, sf))).select("source", "type", "value", "pos")
 
 
 def merged_iocs(spark, sf):
-    return report.merged_in_order(report.iocs(_reports(spark, sf)))
+    return report.merged_in_order(report.iocs(parse.parse(syn.mail(spark, sf))))
 
 
 def summary_report(spark, sf):

@@ -8,6 +8,7 @@ messages are and asks the rules; the SQL states what each rule is about over the
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from postern.functions import domains, text
 from postern.operators import parse, rules
 from postern.plans.synthetic import table
 
-ORG = rules.Org(("example-corp.com",))
+OWN = ("example-corp.com",)
 #: Fields: name to (values, keys that share a value before the next one comes).
 Fields = dict[str, tuple[list, int]]
 
@@ -67,6 +68,12 @@ def headers_of(**named: str) -> Column:
     return F.map_filter(every, lambda _, v: v[0] != "")
 
 
+def judged(messages: DataFrame, analyzer: Callable[[rules.Org], list[Column]], more: Column | None = None) -> DataFrame:
+    org = rules.Org(OWN)
+    found = ids(analyzer(org), more)
+    return org.holding(messages).select("c_custkey", found)
+
+
 # ------------------------------------------------------------------ authentication
 
 _PLACES = ["", "example.org", "mail.example.org", "bad.test"]
@@ -93,7 +100,7 @@ def rules_authentication(spark: SparkSession, sf: str) -> DataFrame:
         "org": F.struct("sender", "spf_domain", F.col("spf_owner").alias("spf"), "dkim_domain", F.col("dkim_owner").alias("dkim")),
         "dns": F.struct("checked", F.col("policy").alias("has_dmarc"), "txt"),
     })
-    return rules.with_auth(f).select("c_custkey", ids(rules.authentication(ORG), rules.dns_findings()))
+    return judged(rules.with_auth(f), rules.authentication, rules.dns_findings())
 
 
 def _auth_sql() -> str:
@@ -162,7 +169,7 @@ def rules_headers(spark: SparkSession, sf: str) -> DataFrame:
         "message_id": F.col("mid"), "date_header": F.col("date"), "hops": F.slice(F.array(hop(0), hop(1), hop(2)), F.lit(1), F.col("n_hops")),
         "org": F.struct("sender", F.col("reply").alias("reply_domain"), "reply", F.col("returned_owner").alias("return_path"), F.col("mid_domain").alias("message_id_domain"), F.col("mid_domain").alias("message_id"), embedded.alias("embedded")),
     })
-    return f.select("c_custkey", ids(rules.headers(ORG)))
+    return judged(f, rules.headers)
 
 
 _BRANDS_SQL = "(VALUES " + ", ".join(f"({k}, '{name}', {quoted(sorted({*ds, *rs}))})" for k, name, ds, rs in rules._BRANDS) + ") AS b(ord, brand, domains)"
@@ -221,7 +228,7 @@ LINKS: Fields = {"n": ([2, 1, 3, 0], 1), "first": (list(range(len(_LINKS))), 1),
 def rules_urls(spark: SparkSession, sf: str) -> DataFrame:
     f = flat(spark, sf, LINKS).withColumn("known", F.array(*map(_link, _described())))
     chosen = F.slice(F.array(*(F.element_at("known", F.col(c) + 1) for c in ("first", "second", "third"))), F.lit(1), F.col("n"))
-    return f.select("c_custkey", chosen.alias("urls")).select("c_custkey", ids(rules.urls(ORG)))
+    return judged(f.select("c_custkey", chosen.alias("urls")), rules.urls)
 
 
 def _urls_sql() -> str:
@@ -257,7 +264,7 @@ FILES: Fields = {
 def rules_attachments(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda name, kind, k: F.struct(F.lit(k).alias("ord"), F.col(name).alias("filename"), F.col(kind).alias("content_type"), F.lit(1234).cast("long").alias("size"), *(F.lit("").alias(h) for h in ("md5", "sha1", "sha256")), F.lit(False).alias("is_inline"))
     f = flat(spark, sf, FILES)
-    return f.select("c_custkey", F.slice(F.array(one("first", "kind1", 0), one("second", "kind2", 1)), F.lit(1), F.col("n")).alias("attachments"), F.col("words").alias("body_text"), "subject").select("c_custkey", ids(rules.attachments(ORG)))
+    return judged(f.select("c_custkey", F.slice(F.array(one("first", "kind1", 0), one("second", "kind2", 1)), F.lit(1), F.col("n")).alias("attachments"), F.col("words").alias("body_text"), "subject"), rules.attachments)
 
 
 def _attachments_sql() -> str:
@@ -312,7 +319,7 @@ def rules_content(spark: SparkSession, sf: str) -> DataFrame:
     f = f.withColumn("raw_body", F.concat_ws("\n", "subject", "body_text", "html_as_text")).withColumn("body", text.strip_invisible(F.col("raw_body")))
     plain = F.lower(text.collapse(F.col("body_text")))
     f = f.withColumn("part_similarity", F.when((F.length(plain) >= 80) & (F.length("html_as_text") >= 80), text.similarity(plain, F.lower("html_as_text"))))
-    return f.select("c_custkey", ids(rules.content(ORG)))
+    return judged(f, rules.content)
 
 
 def _content_sql() -> str:
