@@ -55,8 +55,6 @@ PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
 JUMPS = 2
 #: Documents of one root, and bytes of how they differ from it, that are compared with each other or another block at once.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
-#: Documents that a comparing task has on average, where their groups are smaller.
-GROUP_DOCS = 256
 #: Documents that a task looks at together before it tells of its hubs and heads.
 LOCAL_DOCS = 100_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
@@ -330,8 +328,8 @@ def _deltas(open_ids: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame
 def _spanning_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, gone: np.ndarray, whole: int, deltas: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
     """Links that join all of a root's documents that links join; `side`: only pairs of unequal sides.
 
-    With x = root - R + A, |x & y| = |root| - |R of x| - |R of y| + |delta of x & delta of y|, so what pairs share is one
-    matrix product over the few shingles that several deltas hold. A link that would join what is joined is passed over.
+    With x = root - R + A, |x & y| = |root| - |R of x| - |R of y| + |delta of x & delta of y|, so what pairs share is
+    counted in bits over the few shingles that several deltas hold. A link that would join what is joined is passed over.
     """
     m = len(ids)
     _, comp = np.unique(comp, return_inverse=True)
@@ -345,17 +343,21 @@ def _spanning_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, gone: np.n
     columns = int((count > 1).sum())
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
+    packed = []
+    for low in range(0, columns, 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        held = np.zeros((m, 2048), np.bool_)
+        held[row[a:b], column[a:b] - low] = True
+        packed.append(np.packbits(held, axis=1).view(np.uint64))
     out = []
     for first in range(0, m, 256):
         mine = np.arange(first, min(m, first + 256))
-        shared = np.zeros((len(mine), m), np.float32)
-        for low in range(0, columns, 2048):
-            a, b = np.searchsorted(column, (low, low + 2048))
-            held = np.zeros((m, min(2048, columns - low)), np.float32)
-            held[row[a:b], column[a:b] - low] = 1
-            shared += held[mine] @ held.T
+        shared = np.zeros((len(mine), m), np.int64)
+        for bits in packed:
+            for k, x in enumerate(mine.tolist()):
+                shared[k] += np.bitwise_count(bits & bits[x]).sum(1, dtype=np.int64)
         for k, x in enumerate(mine.tolist()):
-            both = whole - gone[x] - gone + shared[k].astype(np.int64)
+            both = whole - gone[x] - gone + shared[k]
             good = ((TIMES + OF) * both >= TIMES * (n[x] + n)) & (comp != comp[x])
             if side is not None:
                 good &= side != side[x]
@@ -378,7 +380,7 @@ def _grouped_links(deltas: DataFrame, labels: DataFrame) -> DataFrame:
     small = F.broadcast if sizes.count() <= BROADCAST_IDS // 2 else (lambda df: df)
     dealt = rows.join(small(sizes), "root").withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     dealt = write_table(dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("*", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).drop("other", "blocks"), "blocks")
-    packs = 1 + dealt.count() // GROUP_DOCS
+    packs = 1 + dealt.count() // BLOCK_DOCS
 
     def link(key: tuple, got: pa.Table) -> pa.Table:
         columns = [got.column(c).to_numpy() for c in ("root", "i", "j", "doc_id", "component", "n", "gone", "whole", "side")]
