@@ -55,6 +55,8 @@ PACK_DOCS, SHARD_SHINGLES = 4096, 500_000
 JUMPS = 2
 #: Documents of one root, and bytes of how they differ from it, that are compared with each other or another block at once.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
+#: Bytes of bits that are kept while two blocks are compared, and of counts that are made at once; bits beyond are packed anew for each turn.
+HELD_BYTES = 32 << 20
 #: Documents that a task looks at together before it tells of its hubs and heads.
 LOCAL_DOCS = 100_000
 #: A list of document ids is broadcast up to this many (eight bytes each); beyond, it is joined by shuffle.
@@ -343,20 +345,23 @@ def _spanning_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, gone: np.n
     columns = int((count > 1).sum())
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    packed = []
-    for low in range(0, columns, 2048):
-        a, b = np.searchsorted(column, (low, low + 2048))
-        held = np.zeros((m, 2048), np.bool_)
-        held[row[a:b], column[a:b] - low] = True
-        packed.append(np.packbits(held, axis=1).view(np.uint64))
-    out = []
-    for first in range(0, m, 256):
-        mine = np.arange(first, min(m, first + 256))
-        shared = np.zeros((len(mine), m), np.int64)
-        for bits in packed:
-            for k, x in enumerate(mine.tolist()):
-                shared[k] += np.bitwise_count(bits & bits[x]).sum(1, dtype=np.int64)
-        for k, x in enumerate(mine.tolist()):
+
+    def slices() -> Iterator[np.ndarray]:
+        for low in range(0, columns, 2048):
+            a, b = np.searchsorted(column, (low, low + 2048))
+            held = np.zeros((m, 2048), np.bool_)
+            held[row[a:b], column[a:b] - low] = True
+            yield np.packbits(held, axis=1).view(np.uint64)
+
+    kept = list(slices()) if m * columns <= 8 * HELD_BYTES else None
+    out, first, turn = [], 0, 32
+    while first < m and (comp != comp[0]).any():
+        mine = range(first, min(m, first + turn))
+        shared = np.zeros((len(mine), m), np.int32)
+        for bits in kept or slices():
+            for k, x in enumerate(mine):
+                shared[k] += np.bitwise_count(bits & bits[x]).sum(1, dtype=np.int32)
+        for k, x in enumerate(mine):
             both = whole - gone[x] - gone + shared[k]
             good = ((TIMES + OF) * both >= TIMES * (n[x] + n)) & (comp != comp[x])
             if side is not None:
@@ -365,6 +370,8 @@ def _spanning_links(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, gone: np.n
                 if comp[y] != comp[x]:
                     out.append((int(ids[x]), int(ids[y])))
                     comp[comp == comp[y]] = comp[x]
+        # The least changed come first and may join all; otherwise the bits are packed anew as seldom as the counts allow.
+        first, turn = mine.stop, max(32, HELD_BYTES // (4 * m))
     return out
 
 

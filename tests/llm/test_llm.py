@@ -254,6 +254,53 @@ def test_long_lists_and_short_lists_agree(spark):
     assert {g.doc_id: g.component_id for g in ngram_join.join(frame(spark, rows)).collect()} == want
 
 
+def test_grouped_links_keep_bounded_bits(monkeypatch):
+    """4096 documents, 131,072 shared differences: 67 MB of bits if they were all kept, and links that the first document settles."""
+    import tracemalloc
+
+    monkeypatch.setattr(ngram_join, "HELD_BYTES", 4 << 20, raising=False)
+    m, each = 4096, 64
+    own = np.arange(m * each, dtype=np.uint64).reshape(m // 2, 2 * each)
+    deltas = [np.zeros(0, np.uint64), *(own[k // 2, k % 2 : k % 2 + each] for k in range(m - 1))]
+    gone = np.array([0, *[each // 2] * (m - 1)])
+    tracemalloc.start()
+    got = ngram_join._spanning_links(np.arange(m), np.arange(m), np.full(m, 1000), gone, 1000, deltas, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, k) for k in range(1, m)]
+    assert peak < 60 << 20, peak
+
+
+@pytest.mark.parametrize("held", [1 << 10, 32 << 20])
+def test_grouped_links_equal_brute_force(monkeypatch, held):
+    """Chains and pairs of documents that share differences, with all bits kept and with bits packed anew for each turn."""
+    monkeypatch.setattr(ngram_join, "HELD_BYTES", held, raising=False)
+    r = random.Random(held)
+    root = list(range(300))
+    sets = []
+    for k in range(150):
+        x = set(root) - set(r.sample(root, 30))
+        if sets and k % 3:
+            x = set(r.choice(sets)) - set(r.sample(root, 8))
+        sets.append(x | {1000 + 50 * k + j for j in range(r.choice([0, 20, 40]))})
+    deltas = [np.array(sorted(x ^ set(root)), np.uint64) for x in sets]
+    gone = np.array([len(set(root) - x) for x in sets])
+    ids, n = np.arange(150), np.array([len(x) for x in sets])
+    got = ngram_join._spanning_links(ids, ids, n, gone, 300, deltas, None)
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert all(alike(sets[a], sets[b]) for a, b in got)
+
+    def components(pairs):
+        label = list(range(150))
+        for a, b in pairs:
+            old, new = label[a], label[b]
+            label = [new if c == old else c for c in label]
+        return [label.index(c) for c in label]
+
+    want = components((a, b) for a in range(150) for b in range(a) if alike(sets[a], sets[b]))
+    assert components(got) == want and 1 < len(set(want)) < 150
+
+
 def test_rows_of_one_doc_id_link_by_every_text(spark, monkeypatch):
     """Document 1 has two texts, 2 is near the first and 3 near the second; 9 has a text of 4's and one of its own."""
     monkeypatch.setattr(ngram_join, "LOCAL_DOCS", 3)
