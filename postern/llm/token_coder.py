@@ -123,12 +123,12 @@ def _narrowed(low: np.ndarray, span: np.ndarray) -> np.ndarray:
 
 
 def encode_lanes(ids: np.ndarray, bits: int) -> list[bytes]:
-    """ids: [lane, step] int32 below 1 << bits. The bytes of each lane."""
+    """ids: [lane, step] integers below 1 << bits. The bytes of each lane."""
     n, steps = ids.shape
     prior = _prior(bits)
     start, width = np.empty((steps, n), np.uint32), np.empty((steps, n), np.uint32)
     for k in range(n):
-        start[:, k], width[:, k] = _intervals(ids[k], bits, prior)
+        start[:, k], width[:, k] = _intervals(ids[k].astype(np.int32), bits, prior)
     low, span = np.zeros(n, np.uint64), np.full(n, _FULL, np.uint64)
     out = np.zeros((n, steps * 2 + 8), np.uint16)
     flat, wide = out.reshape(-1), out.shape[1]
@@ -184,8 +184,8 @@ def decode_lanes(parts: list[bytes], steps: int, bits: int) -> np.ndarray:
     one, two = np.full(n << _ONE, -1, np.int32), np.full(n << _TWO, -1, np.int32)
     base1, base2, base = lane << _ONE, lane << _TWO, lane * _STATES
     events = np.tile(_START, (n * _STATES, 1))
-    out = np.zeros((steps, n), np.int32)
-    told = np.zeros((steps, n), np.int32)  # state and event of each step
+    out = np.zeros((steps, n), np.uint16 if bits <= 16 else np.int32)
+    told = np.zeros((steps, n), np.int8)  # state and event of each step
     prev, last, run = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
     whole = np.int64(1 << _LITERAL)
     for mark, until in zip(MARKS, (*MARKS[1:], steps), strict=True):
@@ -225,7 +225,7 @@ def decode_lanes(parts: list[bytes], steps: int, bits: int) -> np.ndarray:
             low += first.view(np.uint64) * span
             span *= wide.view(np.uint64)
             out[k] = x
-            told[k] = 4 * s + e
+            told[k] = 4 * (s - base) + e
             one[slot1] = x
             two[slot2] = x
             run = np.where(e < 2, np.minimum(run + 1, 3), 0)
@@ -241,7 +241,8 @@ def decode_lanes(parts: list[bytes], steps: int, bits: int) -> np.ndarray:
                 low[need], span[need] = l, sp
                 need = need[_due(l, sp)]
         if until < steps:
-            events += np.bincount(told[mark:until].reshape(-1), minlength=4 * n * _STATES).reshape(-1, 4)
+            for begin_k in range(mark, until, 1024):
+                events += np.bincount((told[begin_k : min(until, begin_k + 1024)] + 4 * base).reshape(-1), minlength=4 * n * _STATES).reshape(-1, 4)
     return out
 
 
@@ -250,7 +251,7 @@ def encode(ids: np.ndarray, bits: int = 16, block: int = BLOCK_IDS) -> bytes:
     n = len(ids)
     blocks = -(-n // block)
     block = max(1, -(-n // max(1, blocks)))  # blocks of one size: lanes end together
-    grid = np.zeros(blocks * block, np.int32)
+    grid = np.zeros(blocks * block, np.uint16 if bits <= 16 else np.int32)
     grid[:n] = ids
     parts = encode_lanes(grid.reshape(blocks, block), bits) if n else []
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, n, block)]
@@ -270,7 +271,7 @@ def decode(record: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint32)
     try:
-        ids = np.ascontiguousarray(decode_lanes(parts, block, bits).T).astype(np.uint32)
+        ids = decode_lanes(parts, block, bits).T.astype(np.uint32, order="C")
     except IndexError:
         raise ValueError("a block does not decode") from None
     ids = ids.reshape(-1)[:n]

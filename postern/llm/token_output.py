@@ -29,8 +29,8 @@ from postern.llm.common import pack, texts_of, unpack, write_table
 from postern.llm.token_coder import decode, encode
 
 #: Ids that a record holds before it is closed (documents are never split between records).
-RECORD_IDS = 6 << 20
-#: Text bytes of a file: a few records, whose blocks are coded side by side.
+RECORD_IDS = 10 << 20
+#: Text bytes of a file: mostly one record, whose blocks are coded side by side. A short second record would cost as many steps as the first.
 FILE_BYTES = 24 << 20
 END_ID = 1
 #: White-space separated words, and pieces of words, whose ids a worker keeps before it starts anew, and the longest that it takes.
@@ -129,18 +129,14 @@ class _Tokenizer:
 _OPEN: dict[str, _Tokenizer] = {}
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (two bytes each, end id included)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _OPEN:
-            _OPEN[path] = _Tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_OPEN[path].encode(texts_of(part.column("text"))), pa.binary())], ["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, ids binary")
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids, and ids of each (two bytes each, end id included)."""
+    if path not in _OPEN:
+        _OPEN[path] = _Tokenizer(path)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            yield part.column("doc_id").to_pylist(), _OPEN[path].encode(texts_of(part.column("text")))
 
 
 def write(docs: DataFrame, path: str) -> DataFrame:
@@ -159,8 +155,8 @@ def write(docs: DataFrame, path: str) -> DataFrame:
             record = len(index).to_bytes(4, "little") + index + encode(np.frombuffer(b"".join(ids), "<u2"), BITS)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([record], pa.binary())], ["part", "seq", "start", "n_ids", "record"])
 
-        for batch in batches:
-            for key, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+        for own, coded in _encoded(batches, path):
+            for key, x in zip(own, coded, strict=True):
                 if keys and size + len(x) // 2 > RECORD_IDS:
                     yield flush()
                     start, seq, size, keys, ids = start + size, seq + 1, 0, [], []
@@ -174,7 +170,7 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     first = F.col("doc_id").asc_nulls_first()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = docs.select("doc_id", "text").repartitionByRange(max(1, -(-size // FILE_BYTES)), first).sortWithinPartitions(first, F.col("text").asc_nulls_first())
-    return write_table(tokenized(dealt, path).mapInArrow(rows, "part int, seq int, start long, n_ids long, record binary"), "records")
+    return write_table(dealt.mapInArrow(rows, "part int, seq int, start long, n_ids long, record binary"), "records")
 
 
 def open_record(record: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -197,7 +193,7 @@ def read(records: DataFrame) -> DataFrame:
         for batch in batches:
             for start, record in zip(batch.column("start").to_pylist(), batch.column("record"), strict=True):
                 keys, sizes, ids = open_record(record.as_py())
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 ends = np.cumsum(sizes)
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

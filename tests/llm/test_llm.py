@@ -167,6 +167,19 @@ def test_coder_beats_a_byte_compressor_on_real_ids():
     assert (token_coder.decode(record) == ids).all()
 
 
+def test_ids_of_a_file_fit_one_record():
+    """A short second record would cost as many steps as the first; a record's ids are held in two bytes while they are decoded."""
+    import pyarrow.parquet as pq
+
+    own = token_output._Tokenizer(P.path("word_bpe_49k.json"))
+    texts = [(x or "").encode() for x in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    coded = own.encode(texts)
+    assert sum(map(len, coded)) / 2 / sum(map(len, texts)) * token_output.FILE_BYTES < token_output.RECORD_IDS
+    ids = np.frombuffer(b"".join(coded), "<u2")[:4000].astype(np.int32).reshape(4, 1000)
+    got = token_coder.decode_lanes(token_coder.encode_lanes(ids, 16), 1000, 16)
+    assert (got.T == ids).all() and got.itemsize == 2
+
+
 def brute_dedup(rows, w=substring_dedup.WINDOW):
     first: dict[bytes, int] = {}
     for d, x, _ in rows:
