@@ -186,11 +186,11 @@ def _decode_some(model: _Model, told: np.ndarray, parts: list[bytes], steps: int
         state += right
         span *= part
         np.floor(span, span)
-        aim = np.floor(rest / span).astype(np.int64)
+        aim = (rest / span).astype(np.int64)
         aim += state << model.bits
-        symbol = told.take(aim, mode="clip").astype(np.int64)
+        symbol = told.take(aim, mode="clip")
         x = value.take(symbol, mode="clip")
-        symbol += state * model.n
+        symbol = state * model.n + symbol
         rest -= start.take(symbol, mode="clip") * span
         span *= width.take(symbol, mode="clip")
         right = (x < 0).astype(np.int64)

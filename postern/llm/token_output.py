@@ -37,7 +37,7 @@ END_ID = 1
 #: Text bytes that are tokenised at a time, each distinct word once. A longer single text is taken alone.
 SLICE_BYTES = 9 << 20
 #: Words and pieces whose ids a worker keeps, words of the last slice that it starts anew with, and the longest that it takes.
-CACHE_PIECES, CACHE_WORDS, CACHE_BYTES = 600_000, 300_000, 64
+CACHE_PIECES, CACHE_WORDS, CACHE_BYTES = 900_000, 450_000, 64
 BITS = 16
 
 # The vocabulary's split of a text into pieces, for plain ASCII in lower case and for any letters.
